@@ -271,11 +271,11 @@ def running_distinct(spark, sf_dir):
     return _state(spark, sf_dir).select("event_id", "products", "categories", "brands")
 
 
-_ROUNDED = ", ".join(f"round(CAST({f} AS DOUBLE), 4) + 0.0 AS {f}" for f in sessions.FEATURES)
+_ROUNDED = ", ".join(f"round(CAST({f} AS DOUBLE), 6) + 0.0 AS {f}" for f in sessions.FEATURES)
 
 
 def _rounded(df: DataFrame, *keep: str) -> DataFrame:
-    return df.select(*keep, *[(F.round(f, 4) + 0.0).alias(f) for f in sessions.FEATURES])
+    return df.select(*keep, *[(F.round(f, 6) + 0.0).alias(f) for f in sessions.FEATURES])
 
 
 @query(f"WITH {_STATE}, f AS (SELECT session_id, n - 1 AS event_index, {_FEATURES} FROM st) SELECT session_id, CAST(event_index AS INTEGER) AS event_index, {_ROUNDED} FROM f")
