@@ -3,7 +3,8 @@
 Late events are folded in like any other (their gap counts as zero), so no watermark is used: Spark's would be
 one for all partitions and would expire the sessions of a partition that lags. A session expires when its next
 event comes more than TIMEOUT after its last one, which only its own partition's progress can bring about.
-State of sessions that never come back is dropped after IDLE of processing time.
+In a query that runs on, the state of sessions that never come back is dropped after IDLE_MS of processing
+time; one that ends when it has caught up sets no timer, or it would run on to wait for it.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def columns(state: dict) -> dict:
     return {c: state[c] for c in STATE} | seen | {"cart_size": len(state["cart"]), "cart_value": float(sum(state["cart"].values()))}
 
 
-def session_states(events: DataFrame, timeout: int = TIMEOUT, idle_ms: int = IDLE_MS) -> DataFrame:
+def session_states(events: DataFrame, timeout: int = TIMEOUT, idle_ms: int | None = None) -> DataFrame:
     """Every event of a stream with its session's state after it. ``events`` has ``partition`` and ``offset``."""
 
     def update(key, frames: Iterator[pd.DataFrame], group):
@@ -87,10 +88,11 @@ def session_states(events: DataFrame, timeout: int = TIMEOUT, idle_ms: int = IDL
             fold(state, event)
             out.append({"session_id": key[0], "event_id": event["event_id"], "event_type": event["event_type"], "partition": event["partition"]} | columns(state))
         group.update((json.dumps(state),))
-        group.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            group.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out)
 
-    return events.groupBy("session_id").applyInPandasWithState(update, OUTPUT, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("session_id").applyInPandasWithState(update, OUTPUT, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def predictions(states: DataFrame, ensemble: Ensemble, threshold: float = AT_RISK) -> DataFrame:
@@ -107,5 +109,5 @@ def predictions(states: DataFrame, ensemble: Ensemble, threshold: float = AT_RIS
 
 def run(events: DataFrame, ensemble: Ensemble, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Starts the predictor with a JSON lines sink."""
-    writer = predictions(session_states(events), ensemble).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = predictions(session_states(events, idle_ms=None if available_now else IDLE_MS), ensemble).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
