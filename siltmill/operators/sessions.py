@@ -46,7 +46,9 @@ def session_state(events: DataFrame, seq: str = "event_id", session: str = "sess
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     kind = F.col("event_type")
     n = lambda condition: F.coalesce(F.sum(F.when(condition, 1).otherwise(0)).over(so_far), F.lit(0))
-    gap = F.greatest(F.lit(0), F.col("ts") - F.lag("ts").over(by))
+    # greatest() skips nulls, so a session's first event must be left out by hand: it has no gap.
+    step = F.col("ts") - F.lag("ts").over(by)
+    gap = F.when(step.isNotNull(), F.greatest(F.lit(0), step))
     out = events.withColumns(
         {
             "gap": gap, "first_ts": F.first("ts").over(so_far), "last_ts": F.col("ts"), "event_index": F.row_number().over(by) - 1,

@@ -198,7 +198,7 @@ regexp_extract(e.props, '([0-9]+)', 1) AS product_id, p.p_type AS category, p.p_
 FROM events e LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = regexp_extract(e.props, '([0-9]+)', 1))"""
 
 _STATE = _EVENTS + """,
-s1 AS (SELECT *, greatest(0, ts - lag(ts) OVER w) AS gap, first_value(ts) OVER w AS first_ts, row_number() OVER w AS n,
+s1 AS (SELECT *, CASE WHEN lag(ts) OVER w IS NOT NULL THEN greatest(0, ts - lag(ts) OVER w) END AS gap, first_value(ts) OVER w AS first_ts, row_number() OVER w AS n,
 sum((event_type = 'view')::INT) OVER w AS views, sum((event_type = 'click')::INT) OVER w AS clicks, sum((event_type = 'add_to_cart')::INT) OVER w AS cart_adds,
 sum((event_type = 'remove_from_cart')::INT) OVER w AS cart_removes, sum((event_type = 'purchase')::INT) OVER w AS cycle,
 coalesce(sum(price) OVER w, 0) AS price_sum, count(price) OVER w AS price_count, greatest(0, coalesce(max(price) OVER w, 0)) AS price_max,
