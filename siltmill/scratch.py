@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    """Where the setting is unset, as in tests: one temporary folder for this process."""
+    return "file://" + tempfile.mkdtemp(prefix="siltmill-")
+
+
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset, a temporary folder becomes it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siltmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new path in spark.checkpoint.dir; where that is unset, in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{base.rstrip('/')}/siltmill-{uuid.uuid4().hex}"
 
 
