@@ -6,7 +6,7 @@ labelled rows are split into FOLDS parts, and a row's probability is that of a m
 part, so later models learn from probabilities as uncertain as they will meet.
 
 Words are features by presence. The vocabulary has, for each category, the VOCABULARY words that lean furthest
-from independence of it (by the chi-square statistic) among those in at least MIN_DOCS labelled rows, or one in
+from independence of it (by the chi-square statistic, LEAST_LEAN at least) among those in at least MIN_DOCS labelled rows, or one in
 MIN_SHARE of them if that is more. All this is learned from at most MAX_ROWS labelled rows, picked by a hash of
 their id, the one bounded sample here; so the labels used can be broadcast and texts are never shuffled.
 """
@@ -25,9 +25,11 @@ from .common import append_columns, bound_batches, map_batches, written
 FOLDS = 5
 MIN_DOCS, MIN_SHARE = 3, 2_000
 VOCABULARY = 512
+#: Least chi-square statistic of a word: among many thousand words, chance alone hardly ever gives so much.
+LEAST_LEAN = 30.0
 #: The documented bound on labelled rows that the models are fitted on.
 MAX_ROWS = 20_000
-PENALTY = 1.0
+PENALTY = 0.3
 THRESHOLD = 0.5
 #: In this order; each label column holds 0 or 1.
 CATEGORIES = ("quality", "toxic")
@@ -129,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
         share = positive[i] / n
         if 0 < share < 1:
             lean = (F.col(f"p{i}") - F.col("df") * share) ** 2 / (F.col("df") * share * (1 - share))
-            picked |= dict.fromkeys(r[0] for r in seen.orderBy(F.desc(lean), "word").limit(VOCABULARY).select("word").collect())
+            picked |= dict.fromkeys(r[0] for r in seen.filter(lean >= LEAST_LEAN).orderBy(F.desc(lean), "word").limit(VOCABULARY).select("word").collect())
     vocabulary = {w: i for i, w in enumerate(sorted(picked))}
     keep = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
     sample = labelled.select("doc_id", F.array_intersect("w", keep).alias("w"), *[f"y{i}" for i in range(k)]).orderBy("doc_id").toPandas()
