@@ -37,21 +37,25 @@ def table_path(store: Store, table: str) -> str:
     return store.url(f"tables/{table}")
 
 
-def write_segments(store: Store, docs: DataFrame) -> None:
-    """Writes analysed docs (segment names, doc_id, tokens, length, ts, stored fields) as whole segments.
+def write_segments(store: Store, placed: DataFrame, fields: Sequence[str], names: Sequence[str]) -> None:
+    """Writes documents (with segment names and doc_id) as whole segments.
 
-    Each segment is written by one task, sorted, so that row groups can be skipped by term; segments bound a task.
+    Texts are dealt to segments before they are tokenised, so one shuffle serves everything: counting and sorting
+    stay within a segment's task, which its size bounds. Postings are made once; the dictionary and the statistics
+    are read from what was written.
     """
-    postings = build_postings(docs)
-    termdict = postings.groupBy("segment", "term").agg(F.count("*").alias("df"))
+    docs = analyzed(placed.repartition("segment"), fields)
     stored = docs.drop("tokens")
-    parts = {"docs": (stored, ["doc_id"]), "postings": (postings, ["term", "doc_id"]), "termdict": (termdict, ["term"]), "segments": (segment_stats(stored, termdict), [])}
-    for table, (df, order) in parts.items():
-        out = df.repartition("segment").sortWithinPartitions("segment", *order)
-        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-        if table in ("postings", "termdict"):
-            writer = writer.option("parquet.bloom.filter.enabled#term", "true")
-        writer.partitionBy("segment").parquet(table_path(store, table))
+    _write(store, "docs", stored.sortWithinPartitions("segment", "doc_id"))
+    _write(store, "postings", build_postings(docs).sortWithinPartitions("segment", "term", "doc_id"))
+    termdict = read_table(store, "postings", names).groupBy("segment", "term").agg(F.count("*").alias("df"))
+    _write(store, "termdict", termdict.repartition("segment").sortWithinPartitions("segment", "term"))
+    stats = segment_stats(read_table(store, "docs", names), read_table(store, "termdict", names))
+    _write(store, "segments", stats.repartition("segment"))
+
+
+def _write(store: Store, table: str, df: DataFrame) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("segment").parquet(table_path(store, table))
 
 
 def segment_bytes(store: Store, names: Sequence[str]) -> dict[str, int]:
@@ -81,13 +85,12 @@ def section_sizes(store: Store) -> dict[str, int]:
 def ingest(store: Store, docs: DataFrame, docs_per_segment: int = DOCS_PER_SEGMENT, fields: Sequence[str] = TEXT_FIELDS, position: str | None = None, order: Sequence[str] = ("event_id",), manifest_key: str = m.KEY) -> m.Manifest:
     """Indexes a table in segments of a fixed size and publishes them all at once."""
     placed = assign_segments(docs, docs_per_segment, position, order)
-    numbered = analyzed(placed, fields)
     last = placed.groupBy("segment").agg(F.max("doc_id").alias("last")).orderBy("segment").collect()  # a row for each segment
     keys = {r["segment"]: m.batch_key(r["segment"] * docs_per_segment, r["segment"] * docs_per_segment + r["last"]) for r in last}
     sizes = placed.sparkSession.createDataFrame([(k, name_of(v)) for k, v in keys.items()], "segment long, __name string")
-    named = numbered.join(F.broadcast(sizes), "segment").drop("segment").withColumnRenamed("__name", "segment")
+    named = placed.join(F.broadcast(sizes), "segment").drop("segment").withColumnRenamed("__name", "segment")
     if keys:
-        write_segments(store, named)
+        write_segments(store, named, fields, [name_of(k) for k in keys.values()])
     live = m.read(store, manifest_key).replaced(_entries(store, {k: (s * docs_per_segment, None) for s, k in keys.items()}))
     m.write(store, live, manifest_key)
     return live
@@ -124,7 +127,7 @@ def publish_batch(store: Store, docs: DataFrame, max_docs: int, fields: Sequence
     table = docs.sparkSession.createDataFrame([(*k, name_of(v)) for k, v in keys.items()], "partition int, __cut long, __name string")
     placed = cut.withColumn("partition", F.col("partition").cast("int")).join(F.broadcast(table), ["partition", "__cut"])
     placed = placed.drop(*{"segment", "doc_id"} & set(placed.columns)).withColumn("doc_id", F.pmod("__n", F.lit(max_docs)).cast("long")).withColumnRenamed("__name", "segment").drop("__n", "__cut", "partition", "offset")
-    write_segments(store, analyzed(placed, fields))
+    write_segments(store, placed, fields, [name_of(k) for k in keys.values()])
     entries = {e.key: e for e in _entries(store, {keys[r["partition"], r["__cut"]]: (r["lo"], r["hi"]) for r in spans})}
     for partition in sorted({r["partition"] for r in spans}):
         at = m.partition_key(partition)
