@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, texts_of, written
@@ -292,13 +292,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(by_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def text_sha(text_col: str) -> Column:
+    """SHA-256 of a text; null texts have that of the empty one."""
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def kept_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text hash are in ``keep`` (__id, __sha), with the columns of both; of equal ones one."""
+    own = docs.withColumn("__own", text_sha(text_col))
+    kept = own.join(keep, own[id_col].cast("long").eqNullSafe(keep["__id"]) & (own["__own"] == keep["__sha"]), "inner")
+    w = Window.partitionBy("__id", "__sha").orderBy(F.lit(1))
+    return kept.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__own")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id (rows without one come last).
 
     All columns stay. Of rows that repeat both doc_id and text one stays. Texts are shuffled once, by their row's
     own key, so a large group of copies is spread out.
     """
-    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
@@ -307,7 +319,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return each
 
-    rows = texts_of(docs, id_col, text_col).withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    rows = texts_of(docs, id_col, text_col).withColumn("sha", text_sha("text"))
     marked = written(map_batches(rows, make, "doc_id long, sha string, fp long"))
     # The smallest (doc_id, sha) of each fingerprint, then of each component.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("sha").alias("sha")))
@@ -315,7 +327,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comp = components(near_links(distinct.select("fp")))
     rooted = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
     keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.sha").alias("__sha"))
-    own = docs.withColumn("__own", sha)
-    kept = own.join(keep, own[id_col].cast("long").eqNullSafe(keep["__id"]) & (own["__own"] == keep["__sha"]), "inner")
-    w = Window.partitionBy("__id", "__sha").orderBy(F.lit(1))
-    return kept.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__own", "__id", "__sha")
+    return kept_rows(docs, keep, id_col, text_col).drop("__id", "__sha")
