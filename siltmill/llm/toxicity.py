@@ -5,14 +5,17 @@ also gets the earlier categories' probabilities (as log odds). While training, t
 labelled rows are split into FOLDS parts, and a row's probability is that of a model that has not seen its
 part, so later models learn from probabilities as uncertain as they will meet.
 
-Words are features by presence. The vocabulary has, for each category, the VOCABULARY words that lean furthest
-from independence of it (by the chi-square statistic, LEAST_LEAN at least) among those in at least MIN_DOCS labelled rows, or one in
-MIN_SHARE of them if that is more. All this is learned from at most MAX_ROWS labelled rows, picked by a hash of
-their id, the one bounded sample here; so the labels used can be broadcast and texts are never shuffled.
+Words are features by presence. The vocabulary has every word that leans LEAST_LEAN or more from independence of
+some category (by the chi-square statistic) among those in at least MIN_DOCS labelled texts, or one in MIN_SHARE
+of them if that is more. Rows of equal words are one text, with the mean of their labels: a group of copies counts
+once, and no word takes another's place. All this is learned from at most MAX_ROWS labelled rows, picked by a hash
+of their id, the one bounded sample here; so the labels used can be broadcast and texts are never shuffled, only
+the sample's words are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,6 @@ from .common import append_columns, bound_batches, map_batches, written
 
 FOLDS = 5
 MIN_DOCS, MIN_SHARE = 3, 2_000
-VOCABULARY = 512
 #: Least chi-square statistic of a word: among many thousand words, chance alone hardly ever gives so much.
 LEAST_LEAN = 30.0
 #: The documented bound on labelled rows that the models are fitted on.
@@ -116,26 +118,35 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            return {"doc_id": batch.column("doc_id"), "w": [sorted(words(t)) for t in batch.column("text").to_pylist()]} | {f"y{i}": batch.column(f"y{i}") for i in range(k)}
+            found = [sorted(words(t)) for t in batch.column("text").to_pylist()]
+            same = [hashlib.sha256("\n".join(w).encode()).digest() for w in found]
+            return {"doc_id": batch.column("doc_id"), "same": same, "w": found} | {f"y{i}": batch.column(f"y{i}") for i in range(k)}
 
         return each
 
-    labelled = written(map_batches(texts.join(F.broadcast(said), "doc_id").select("doc_id", "text", *[f"y{i}" for i in range(k)]), make, f"doc_id long, w array<string>, {ys}"))
-    totals = labelled.agg(F.count("*"), *[F.coalesce(F.sum(f"y{i}"), F.lit(0)) for i in range(k)]).first()
+    rows = map_batches(texts.join(F.broadcast(said), "doc_id").select("doc_id", "text", *[f"y{i}" for i in range(k)]), make, f"doc_id long, same binary, w array<string>, {ys}")
+    labelled = written(rows.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("w").alias("w"), *[F.avg(f"y{i}").alias(f"y{i}") for i in range(k)]).drop("same"))
+    totals = labelled.agg(F.count("*"), *[F.coalesce(F.sum(f"y{i}"), F.lit(0.0)) for i in range(k)]).first()
     n, positive = totals[0], totals[1:]
     if not n:
         return Chain(categories, {}, [np.zeros(i + 1) for i in range(k)])
     seen = labelled.select(F.explode("w").alias("word"), *[f"y{i}" for i in range(k)]).groupBy("word").agg(F.count("*").alias("df"), *[F.sum(f"y{i}").alias(f"p{i}") for i in range(k)]).filter(F.col("df") >= max(MIN_DOCS, n // MIN_SHARE))
-    picked: dict[str, None] = {}
+    leans = F.lit(False)
     for i in range(k):
         share = positive[i] / n
         if 0 < share < 1:
-            lean = (F.col(f"p{i}") - F.col("df") * share) ** 2 / (F.col("df") * share * (1 - share))
-            picked |= dict.fromkeys(r[0] for r in seen.filter(lean >= LEAST_LEAN).orderBy(F.desc(lean), "word").limit(VOCABULARY).select("word").collect())
-    vocabulary = {w: i for i, w in enumerate(sorted(picked))}
-    keep = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    sample = labelled.select("doc_id", F.array_intersect("w", keep).alias("w"), *[f"y{i}" for i in range(k)]).orderBy("doc_id").toPandas()
-    rows = _Rows([np.array([vocabulary[x] for x in w], np.int64) for w in sample["w"]], len(vocabulary))
+            leans |= (F.col(f"p{i}") - F.col("df") * share) ** 2 / (F.col("df") * share * (1 - share)) >= LEAST_LEAN
+    vocabulary = {w: i for i, w in enumerate(sorted(r[0] for r in seen.filter(leans).select("word").collect()))}
+
+    def place():
+        def each(batch: pa.RecordBatch) -> dict:
+            at = [[vocabulary[x] for x in w if x in vocabulary] for w in batch.column("w").to_pylist()]
+            return {"doc_id": batch.column("doc_id"), "w": at} | {f"y{i}": batch.column(f"y{i}") for i in range(k)}
+
+        return each
+
+    sample = map_batches(labelled, place, f"doc_id long, w array<int>, {ys.replace('int', 'double')}").orderBy("doc_id").toPandas()
+    rows = _Rows([np.array(w, np.int64) for w in sample["w"]], len(vocabulary))
     fold = sample["doc_id"].map(lambda x: (x * 2654435761 >> 7) % FOLDS).to_numpy()
     dense, weights = np.zeros((rows.n, 0)), []
     for i in range(k):
