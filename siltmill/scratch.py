@@ -11,14 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 @cache
 def _own_folder() -> str:
-    """Where the setting is unset, as in tests: one temporary folder for this process."""
     return "file://" + tempfile.mkdtemp(prefix="siltmill-")
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset, in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/siltmill-{uuid.uuid4().hex}"
+    """A new path in spark.checkpoint.dir, below a folder of this application.
+
+    Only a session that runs in one process, as in tests, may do without the setting: it gets a folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _own_folder()
+    return f"{base.rstrip('/')}/siltmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -26,3 +33,9 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables; call it once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark)).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
