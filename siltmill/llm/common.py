@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of one Arrow batch. Texts can be very long, so batches are kept short to bound a worker's memory.
+from ..scratch import written  # noqa: F401 - for the other modules here
+
+#: Rows that a worker turns into Python objects at a time. Arrow batches themselves are bounded in bytes by Spark
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
 BATCH_ROWS = 1000
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of text columns short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The non-empty batches in slices of at most BATCH_ROWS rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(i, BATCH_ROWS)
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text) of a table, whatever else it holds."""
-    bound_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -40,9 +41,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(each(batch), schema=arrow)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict(each(batch), schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -50,9 +50,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list], dict]], added: str) -> DataFrame:
     """All columns of ``df`` and those of the DDL ``added``, computed from one string column in the same task.
 
-    The added names must be free in ``df``; callers use names with a private prefix.
+    The added names must be free in ``df``: ``free_name`` gives such names.
     """
-    bound_batches(df.sparkSession)
     out = StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -61,43 +60,20 @@ def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            if batch.num_rows:
-                new = each(batch.column(at).to_pylist())
-                arrays = [pa.array(new[f.name], f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *arrow.names])
+        for batch in slices(batches):
+            new = each(batch.column(at).to_pylist())
+            arrays = [pa.array(new[f.name], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *arrow.names])
 
     return df.mapInArrow(run, out)
 
 
-@cache
-def _own_folder() -> str:
-    """Where the setting is unset, as in tests: one temporary folder for this process."""
-    return "file://" + tempfile.mkdtemp(prefix="siltmill-")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; where that is unset (tests), in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/siltmill-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to a shared scratch table and read back: the lineage ends here."""
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_scratch(spark: SparkSession) -> None:
-    """Deletes every scratch table below spark.checkpoint.dir; call it once no result is needed any more."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    if base:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(base)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "siltmill-*")) or []:
-            fs.delete(found.getPath(), True)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it differ from every column, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 class Generations(dict):

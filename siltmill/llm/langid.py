@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches
+from .common import map_batches
 
 #: N-grams of a language's profile and of a document's.
 PROFILE = 400
@@ -60,7 +60,6 @@ def has_letter(text: str | None) -> bool:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language, from all rows with a language and a text that has a letter."""
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
 
     def make():
@@ -121,7 +120,6 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
     Null and empty texts and texts without a letter are ``und`` with score 0, as is every text when nothing
     was learned. One row for each row; other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
 
     def make():
         look = Predictor(profiles)

@@ -3,11 +3,16 @@
 Each task tokenises its documents, cuts those longer than a sequence, and packs its pieces best-fit (longest
 first, each into the fullest bin that takes it). Bins that are nearly full are final. The others go up a tree
 as single items: each round gathers the underfull bins of FAN_IN nodes, packs them best-fit again and passes on
-what is still underfull, until one node is left. A bin goes up only if it and the smallest one around fit one
-sequence together; all others are final, and nothing is lost by that.
+what is still underfull, until one node is left.
 
-What moves between tasks is one short row for each underfull bin, never pieces. A task holds BLOCK items at a
-time. Tokenised pieces are written once and only their placement is joined later.
+Which bins go up does not depend on where they lie. Best-fit leaves at most one bin of a block half full or less;
+only such a small bin can join another one, and a bin over half full can only take small ones. So all small bins
+rise, and of the others as many as small ones are there to fill them, fullest first, counted over the whole table
+by fill (LENGTH + 1 numbers). A round moves at most two bins for each block of the table; the surplus stays final.
+
+What moves between tasks is one short row for each such bin, never pieces. A task holds BLOCK items at a time.
+Tokenised pieces are written once and only their placement is joined later. The memo of words holds none longer
+than MEMORABLE characters, so its entries bound its bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Generations, crc32, texts_of, written
@@ -29,6 +34,8 @@ END_ID = 2
 SLACK = 8
 #: Items that a task packs at a time, and nodes that meet in one round.
 BLOCK, FAN_IN = 65_536, 8
+#: Units longer than this are tokenised each time and not remembered.
+MEMORABLE = 64
 VOCABULARY = "byte_bpe_50k"
 
 #: White space and words as byte-level BPE pre-tokenises them; a word keeps one leading space.
@@ -76,8 +83,8 @@ class ByteTokenizer:
             return b""
         if _ODD_SPACE.search(text) or (self.special and self.special.search(text)):
             return self._whole(text)
-        memo = self.memo
-        return b"".join([memo[u] for u in _UNITS.findall(text)])
+        memo, unit = self.memo, self._unit
+        return b"".join([memo[u] if len(u) <= MEMORABLE else unit(u) for u in _UNITS.findall(text)])
 
 
 def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -181,6 +188,43 @@ def _merge(length: int, block: int):
     return run
 
 
+def rising(counts: dict[int, int], length: int = LENGTH) -> dict[int, int]:
+    """How many bins of each fill go up, from the number of underfull bins by fill.
+
+    All small ones, and of the others no more than small ones that fit them; none if nothing can merge.
+    """
+    small = sorted(f for f in counts if 2 * f <= length)
+    total = sum(counts[f] for f in small)
+    out: dict[int, int] = {}
+    used = fits = i = 0
+    for f in sorted((f for f in counts if 2 * f > length), reverse=True):
+        while i < len(small) and small[i] + f <= length:
+            fits += counts[small[i]]
+            i += 1
+        take = min(counts[f], fits - used)
+        if take:
+            out[f] = take
+            used += take
+    return out | {f: counts[f] for f in small} if out or total > 1 else {}
+
+
+def _risen(items: DataFrame, quota: dict[int, int], counts: dict[int, int]) -> DataFrame:
+    """The rows of (bin, fill, node) that go up: all of a fill, or the quota's number, by node and bin."""
+    whole = [f for f, n in quota.items() if n == counts[f]]
+    partly = {f: n for f, n in quota.items() if n < counts[f]}
+    out = items.filter(F.col("fill").isin(whole))
+    if not partly:
+        return out
+    limit = F.create_map(*[F.lit(x).cast("long") for pair in partly.items() for x in pair])
+    some = items.filter(F.col("fill").isin(list(partly)))
+    # Where each node's bins of a fill begin among all of that fill: a row for each node and fill.
+    starts = some.groupBy("fill", "node").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("fill").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select("fill", "node", before.alias("start")).filter(F.col("start") < limit[F.col("fill")])
+    place = F.col("start") + F.row_number().over(Window.partitionBy("fill", "node").orderBy("bin"))
+    return out.unionByName(some.join(starts, ["fill", "node"]).withColumn("place", place).filter(F.col("place") <= limit[F.col("fill")]).select("bin", "fill", "node"))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, block: int = BLOCK, fan_in: int = FAN_IN, slack: int = SLACK) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -194,11 +238,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     moved: DataFrame | None = None
     top = pieces.agg(F.max("node")).first()[0] or 0
     while True:
-        least = items.agg(F.min("fill"), F.count("*")).first()
-        if not least[1]:
+        counts = {r[0]: r[1] for r in items.groupBy("fill").count().collect()}  # at most a row for each fill
+        quota = rising(counts, length)
+        if not quota:
             break
-        node = (F.col("node") / fan_in).cast("int")
-        items = items.filter(F.col("fill") + least[0] <= length).withColumn("node", node)
+        items = _risen(items, quota, counts).withColumn("node", (F.col("node") / fan_in).cast("int"))
         parts = max(1, min(top // fan_in + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         dealt = items.repartition(parts, "node").sortWithinPartitions("node", "bin")
         merged = written(dealt.mapInArrow(_merge(length, block), "bin long, parent long, shift long, fill long, node int"))

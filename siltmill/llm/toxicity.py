@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, bound_batches, map_batches, written
+from .common import append_columns, map_batches, written
 
 FOLDS = 5
 MIN_DOCS, MIN_SHARE = 3, 2_000
@@ -106,7 +106,6 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
 
     Without any labelled row the chain says one half for everything but calls nothing toxic.
     """
-    bound_batches(docs.sparkSession)
     said = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
     said = said.dropna().groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
     there = said.count()
