@@ -8,31 +8,43 @@ boundary, so a pair of an encoding merges alike on its own; and the first merge
 pieces would have been the first to do so in their concatenation. So exactly one path is finite, and the same
 max-plus algebra gives the library's own ids.
 
-Giant texts are cut into parts at fixed places. What a part needs from its left is only which piece ends at or
-crosses the cut. A part's transfer matrix gives, for each such state at its left cut and each at its right cut,
-the best value between. Matrices combine associatively (max-plus products, in a tree), which fixes the state at
-every cut, and each part is then traced back on its own. Inside a part, pre-tokens that no piece can cross are
-solved once and remembered.
+Giant texts are cut into parts at fixed places, in one walk over the text, and the parts are spread over the
+cluster. What a part needs from its left is only which piece ends at or crosses the cut. A part's transfer matrix
+gives, for each such state at its left cut and each at its right cut, the best value between. Matrices combine
+associatively: FAN neighbours at a time, a level of the tree for each round, so no task holds more than FAN of
+them, however long the text. The same tree is then walked down, which fixes the state at every cut, and each part
+is traced back on its own. Inside a part, pre-tokens that no piece can cross are solved once and remembered; many
+of them are solved together, a place at a time, as arrays.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, bound_batches, crc32, crc32_combine, map_batches, texts_of, written
+from .common import Generations, crc32, crc32_combine, map_batches, slices, texts_of, written
 from .pieces import BPE, BYTE, NORMAL, SPACE, UNUSED, USER_DEFINED, load_proto, pretokens
 
 #: Characters above which a text is cut, and characters of a part.
 GIANT, PART = 65_536, 16_384
+#: Matrices that one step of the tree combines.
+FAN = 64
 NONE = float("-inf")
-#: Pre-tokens longer than this are not remembered.
+#: Pre-tokens longer than this are solved on their own and not remembered.
 MEMORABLE = 64
+#: Remembered pre-tokens, and characters of texts and pre-tokens that are encoded together.
+REMEMBERED, AT_ONCE, TOGETHER = 300_000, 4_000_000, 400_000
+#: Places for remembered pairs of neighbours, a power of two.
+PAIRS = 1 << 21
+#: Unknown characters are numbered from here in arrays, after all pieces; NOTHING stands before a text.
+UNKNOWN_FROM, NOTHING, WIDE = 1 << 24, 1 << 25, 1 << 26
 
 _SYNC = re.compile(r"(?<=[^ ])(?= )|(?=\n)|(?<=\n)")
 
@@ -42,6 +54,11 @@ def _synced(s: str, i: int) -> bool:
     return s[i] == "\n" or s[i - 1] == "\n" or (s[i] == " " and s[i - 1] != " ")
 
 
+def _place(pair: np.ndarray) -> np.ndarray:
+    """A pair's place in the table of pairs: the upper bits of a product."""
+    return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - PAIRS.bit_length())).astype(np.int64)
+
+
 class Lattice:
     """A model's pieces with the space sign written as a space."""
 
@@ -78,7 +95,34 @@ class Lattice:
         self.worst = min(self.score.values(), default=0.0) - 10.0
         self.pairs = Generations(self._pair, 400_000)
         self.alone = Generations(lambda t: self.merged(t) == [t], 60_000)
-        self.memo = Generations(self._unit, 300_000)
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self._number_tree()
+
+    def _number_tree(self) -> None:
+        """The character tree as arrays: (node, character) -> child, and the piece that ends at each node."""
+        keys, children, ends, todo = [], [], [-1], [(0, self.tree)]
+        self.names: dict[int, str] = {}
+        while todo:
+            node, kids = todo.pop()
+            for c, (below, piece) in kids.items():
+                keys.append(node << 21 | ord(c))
+                children.append(len(ends))
+                todo.append((len(ends), below))
+                if piece is None:
+                    ends.append(-1)
+                else:
+                    i = int(np.frombuffer(self.packed[piece], "<u4")[0])
+                    self.names[i] = piece
+                    ends.append(i)
+        order = np.argsort(np.array(keys, np.int64))
+        self.steps, self.children = np.array(keys, np.int64)[order], np.array(children, np.int64)[order]
+        self.ends = np.array(ends, np.int64)
+        self.weight = np.zeros(max(self.names, default=0) + 1)
+        for i, piece in self.names.items():
+            self.weight[i] = self.score[piece]
+        self.pair_key = np.full(PAIRS, -1, np.int64)
+        self.pair_fits = np.zeros(PAIRS, bool)
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text by merging the best neighbours, the leftmost of equals, until none is a piece."""
@@ -153,19 +197,129 @@ class Lattice:
             end = q
         return out[::-1]
 
-    def _unit(self, unit: str) -> tuple[bytes, float]:
-        nodes = self.run(unit, 0, None, len(unit))
-        return self.ids(self.trace(unit, nodes, 0, len(unit))), nodes[len(unit)][1]
+    def _name(self, i: int) -> str | None:
+        return None if i == NOTHING else chr(i - UNKNOWN_FROM) if i >= UNKNOWN_FROM else self.names[i]
+
+    def _fit_all(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``_fits`` for arrays of numbered pieces, by a table of the pairs seen last."""
+        key = before * WIDE + piece
+        place = _place(key)
+        out, known = self.pair_fits[place], self.pair_key[place] == key
+        if not known.all():
+            new, at = np.unique(key[~known], return_inverse=True)
+            found = np.array([self._fits(self._name(k // WIDE), self._name(k % WIDE)) for k in new.tolist()], bool)
+            out[~known] = found[at]
+            # Of pairs with one place the last stays, in both tables.
+            self.pair_key[_place(new)], self.pair_fits[_place(new)] = new, found
+        return out
+
+    def solve(self, units: Sequence[str]) -> list[tuple[bytes, float]]:
+        """Ids and value of each non-empty unit's best path: the scan of ``run``, for all units at once."""
+        if not units:
+            return []
+        size = np.array([len(u) for u in units], np.int64)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        owner = np.repeat(np.arange(len(units)), size)
+        stop = np.cumsum(size)
+        rel = np.arange(len(chars)) - (stop - size)[owner]
+        # Every piece at every place: (start, end, piece).
+        at, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+        for d in range(1, self.longest + 1):
+            inside = at + d <= stop[owner[at]]
+            at, node = at[inside], node[inside]
+            if not len(at):
+                break
+            key = node << 21 | chars[at + d - 1]
+            i = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            ok = self.steps[i] == key
+            node = np.where(ok, self.children[i], 0)
+            piece = np.where(ok, self.ends[node], -1)
+            if d == 1:
+                odd = piece < 0
+                found.append((at[odd], at[odd] + 1, UNKNOWN_FROM + chars[at[odd]]))
+            found.append((at[piece >= 0], at[piece >= 0] + d, piece[piece >= 0]))
+            at, node = at[ok], node[ok]
+        start, end, piece = (np.concatenate([f[k] for f in found]) for k in range(3))
+        order = np.argsort(rel[start], kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        edges = np.searchsorted(rel[start], np.arange(int(size.max(initial=0)) + 1))
+        weight = np.zeros(len(piece)) if self.bpe else np.where(piece >= UNKNOWN_FROM, self.worst, self.weight[np.where(piece >= UNKNOWN_FROM, 0, piece)])
+        # A unit of n characters has n + 1 places.
+        end, start = end + owner[start], start + owner[start]
+        first, final = (stop - size) + np.arange(len(units)), stop + np.arange(len(units))
+        places = len(chars) + len(units)
+        value, last, prev = np.full(places, NONE), np.full(places, NOTHING), np.full(places, -1)
+        value[first] = 0.0
+        for q in range(len(edges) - 1):
+            s, e, p = start[edges[q] : edges[q + 1]], end[edges[q] : edges[q + 1]], piece[edges[q] : edges[q + 1]]
+            v = value[s] + weight[edges[q] : edges[q + 1]]
+            use = np.nonzero(v > value[e])[0]
+            if self.bpe and len(use):
+                use = use[self._fit_all(last[s[use]], p[use])]
+            value[e[use]], last[e[use]], prev[e[use]] = v[use], p[use], s[use]
+        taken, here = np.full(places, -1), final
+        while len(here):
+            back = prev[here]
+            taken[back] = last[here]
+            here = back[prev[back] >= 0]
+        token = taken >= 0
+        ids = taken[token]
+        counts = np.add.reduceat(token.astype(np.int64), first)
+        packed, bounds = ids.astype("<u4").tobytes(), np.append(0, np.cumsum(counts)).tolist()
+        out = [(packed[4 * x : 4 * y], v) for x, y, v in zip(bounds, bounds[1:], value[final].tolist(), strict=False)]
+        for u in np.unique(np.searchsorted(np.cumsum(counts), np.nonzero(ids >= UNKNOWN_FROM)[0], side="right")).tolist():
+            out[u] = (self.ids([self._name(i) for i in ids[bounds[u] : bounds[u + 1]].tolist()]), out[u][1])
+        return out
 
-    def unit(self, unit: str) -> tuple[bytes, float]:
-        return self.memo[unit] if len(unit) <= MEMORABLE else self._unit(unit)
+    def alone_ids(self, unit: str) -> bytes:
+        """Ids of one unit of any length, in one scan."""
+        return self.ids(self.trace(unit, self.run(unit, 0, None, len(unit)), 0, len(unit)))
+
+    def learn(self, units: set[str]) -> None:
+        """Puts the units no longer than MEMORABLE into the memo; what was not used for long leaves it."""
+        memo = self.memo
+        new = [u for u in units if u not in memo and len(u) <= MEMORABLE]
+        if len(memo) + len(new) > REMEMBERED:
+            self.old, self.memo = memo, {}
+            memo, new = self.memo, [u for u in units if len(u) <= MEMORABLE]
+        fresh = []
+        for u in new:
+            got = self.old.get(u)
+            if got is None:
+                fresh.append(u)
+            else:
+                memo[u] = got
+        fresh.sort(key=len)  # units of like length are solved together
+        i = 0
+        while i < len(fresh):
+            j = i + max(1, TOGETHER // len(fresh[min(len(fresh) - 1, i + TOGETHER // MEMORABLE)]))
+            memo.update(zip(fresh[i:j], [ids for ids, _ in self.solve(fresh[i:j])], strict=True))
+            i = j
+
+    def joined(self, units: list[str]) -> bytes:
+        """Ids of learned units, and of long ones, one after the other."""
+        memo = self.memo
+        try:
+            return b"".join([memo[u] for u in units])
+        except KeyError:
+            return b"".join([memo[u] if len(u) <= MEMORABLE else self.alone_ids(u) for u in units])
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit integers."""
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        total = 0
+        for i, text in enumerate(texts):
+            held.append(pretokens(text) if text else [])
+            total += len(text) if text else 0
+            if total >= AT_ONCE or i + 1 == len(texts):
+                self.learn(set().union(*held))
+                out += [self.joined(units) for units in held]
+                held, total = [], 0
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        unit = self.unit
-        return b"".join([unit(u)[0] for u in pretokens(text)])
+        return self.encode_all([text])[0]
 
     def decode_bytes(self, ids: bytes) -> bytes:
         surface = self.surface
@@ -209,7 +363,8 @@ class Lattice:
         rows: list[dict] = []
         if ends:
             head, tail = ends
-            middle = sum(self.unit(u)[1] for u in _split(s[head:tail]))
+            # Whole pre-tokens always have a path, of value 0 for BPE.
+            middle = 0.0 if self.bpe else sum(v for _, v in self.solve(_split(s[head:tail])))
             out = self._exits(self.run(s, tail, None, hi), hi, final)
             for q, p in entries:
                 end = lo + p
@@ -248,7 +403,9 @@ class Lattice:
             return self.ids(self.trace(s, self.run(s, begin, before, hi), begin, end))
         head, tail = ends
         out = self.ids(self.trace(s, self.run(s, begin, before, head), begin, head)) if begin < head else b""
-        middle = b"".join(self.unit(u)[0] for u in _split(s[head:tail]))
+        units = _split(s[head:tail])
+        self.learn(set(units))
+        middle = self.joined(units)
         return out + middle + self.ids(self.trace(s, self.run(s, tail, None, hi), tail, end))
 
 
@@ -268,15 +425,29 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return a[0], b[1], value
 
 
-def cut_states(parts: list[Matrix]) -> list[tuple[int, int]]:
-    """The states of the best path at every cut, both ends included, by a tree of products."""
+State = tuple[int, int]
+
+
+def product(parts: Sequence[Matrix]) -> Matrix:
+    """The product of neighbours, by halves."""
+    while len(parts) > 1:
+        parts = [combine(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def best_span(whole: Matrix) -> tuple[State, State]:
+    """The states at both ends of the best path through a matrix."""
+    i, j = np.unravel_index(np.argmax(whole[2]), whole[2].shape)
+    return whole[0][i], whole[1][j]
+
+
+def cut_states(parts: list[Matrix], span: tuple[State, State] | None = None) -> list[State]:
+    """The states of the best path at every cut, both ends included; ``span`` fixes the ends."""
     levels = [parts]
     while len(levels[-1]) > 1:
         below = levels[-1]
         levels.append([combine(below[i], below[i + 1]) if i + 1 < len(below) else below[i] for i in range(0, len(below), 2)])
-    entries, exits, value = levels[-1][0]
-    i, j = np.unravel_index(np.argmax(value), value.shape)
-    spans = [(entries[i], exits[j])]
+    spans = [span or best_span(levels[-1][0])]
     for below in levels[-2::-1]:
         finer = []
         for k, (left, right) in enumerate(spans):
@@ -291,80 +462,142 @@ def cut_states(parts: list[Matrix]) -> list[tuple[int, int]]:
     return [spans[0][0], *(s[1] for s in spans)]
 
 
+@lru_cache(maxsize=1)
+def lattice(model: str | None = None) -> Lattice:
+    """The lattice of a model, which a worker keeps: its memos are bounded."""
+    return Lattice(model)
+
+
 def encode_short(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids) of a (doc_id, text) table, each text in one part."""
 
     def make():
-        lattice = Lattice(model)
-        return lambda b: {"doc_id": b.column(0), "ids": [lattice.encode(t) for t in b.column(1).to_pylist()]}
+        own = lattice(model)
+        return lambda b: {"doc_id": b.column(0), "ids": own.encode_all(b.column(1).to_pylist())}
 
     return map_batches(docs, make, "doc_id long, ids binary")
 
 
-_PART = "key string, part int, parts int, lo int, hi int, s string"
+#: What is known of a giant text: a number of its own, and lengths and CRCs of the text and of what decoding must give.
+_FACTS = "row long, doc_id long, n_bytes long, w_bytes long, w_crc long"
 
 
 def giant_parts(docs: DataFrame, size: int = PART, context: int = 16) -> DataFrame:
-    """(key, part, parts, lo, hi, s): each distinct text once, cut into parts with their context."""
-    s = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("key"), F.concat(F.lit(" "), F.translate("text", SPACE, " ")).alias("whole"))
-    s = s.withColumn("n", F.char_length("whole")).withColumn("parts", F.ceil(F.col("n") / size).cast("int"))
-    s = s.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo = F.least(F.col("part") * size, F.lit(context)).cast("int")
-    own = F.least(F.lit(size), F.col("n") - F.col("part") * size).cast("int")
-    cut = F.substring("whole", F.col("part") * size - lo + 1, lo + own + context)
-    return s.select("key", "part", "parts", lo.alias("lo"), (lo + own).cast("int").alias("hi"), cut.alias("s")).dropDuplicates(["key", "part"])
-
-
-def encode_giant(docs: DataFrame, model: str | None = None, size: int = PART) -> DataFrame:
-    """(key, part, parts, ids) of the distinct texts of a (doc_id, text) table; key is the text's SHA-256."""
-    context = Lattice(model).longest
-    # Cut, spread over the cluster by (key, part), and written: both scans of the parts read it.
-    parts = written(giant_parts(docs, size, context))
+    """Every text of a (doc_id, text) table cut into parts with their context, in one walk over it.
 
-    def transfers():
-        lattice = Lattice(model)
+    One row for each part: _FACTS, part, parts, and s, whose own characters are s[lo:hi].
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-        def each(b: pa.RecordBatch) -> dict:
-            rows = b.to_pylist()
-            got = [lattice.transfer(r["s"], r["lo"], r["hi"], r["part"] == 0, r["part"] + 1 == r["parts"]) for r in rows]
-            flat = lambda states: [v for s in states for v in s]
-            return {
-                "key": b.column("key"), "part": b.column("part"),
-                "entries": [flat(g[0]) for g in got], "exits": [flat(g[1]) for g in got], "value": [g[2].ravel().tolist() for g in got],
-            }
+    shape = f"{_FACTS}, part int, parts int, lo int, hi int, s string"
+    schema = to_arrow_schema(StructType.fromDDL(shape))
 
-        return each
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_id, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                whole = " " + text.replace(SPACE, " ")
+                want = whole.encode()
+                facts = (row, doc_id, len(text.encode()), len(want), crc32(want))
+                del want, text
+                parts = -(-len(whole) // size)
+                for first in range(0, parts, 64):
+                    rows = []
+                    for k in range(first, min(parts, first + 64)):
+                        lo, own = min(k * size, context), min(size, len(whole) - k * size)
+                        rows.append((*facts, k, parts, lo, lo + own, whole[k * size - lo : k * size + own + context]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                row += 1
 
-    matrices = map_batches(parts, transfers, "key string, part int, entries array<int>, exits array<int>, value array<double>")
+    return docs.mapInArrow(run, shape)
 
-    def join(key, frame):
-        frame = frame.sort_values("part")
-        pairs = lambda x: list(zip(x[::2].tolist(), x[1::2].tolist(), strict=True))
-        got = [(pairs(e), pairs(x), np.array(v).reshape(len(e) // 2, -1)) for e, x, v in zip(frame["entries"], frame["exits"], frame["value"], strict=True)]
-        states = cut_states(got)
-        out = frame[["key", "part"]].copy()
-        for i, name in enumerate(("e0", "e1")):
-            out[name] = [s[i] for s in states[:-1]]
-        for i, name in enumerate(("x0", "x1")):
-            out[name] = [s[i] for s in states[1:]]
+
+_MATRIX = "row long, node int, entries array<int>, exits array<int>, value array<double>"
+_SPAN = "row long, node int, e0 int, e1 int, x0 int, x1 int"
+
+
+def _matrices(frame) -> list[Matrix]:
+    pairs = lambda x: list(zip(x[::2].tolist(), x[1::2].tolist(), strict=True))
+    return [(pairs(e), pairs(x), np.array(v).reshape(len(e) // 2, -1)) for e, x, v in zip(frame["entries"], frame["exits"], frame["value"], strict=True)]
+
+
+def _flat(m: Matrix) -> dict:
+    return {"entries": [v for s in m[0] for v in s], "exits": [v for s in m[1] for v in s], "value": m[2].ravel().tolist()}
+
+
+def part_states(matrices: DataFrame, most: int, fan: int = FAN) -> DataFrame:
+    """(row, node, e0, e1, x0, x1): the states at both cuts of every part, from all rows' matrices.
+
+    ``most`` is the largest number of parts of a row. Each round up or down the tree is one shuffle of matrices
+    by (row, group), some kilobytes each, FAN to a group.
+    """
+    import pandas as pd
+
+    def up(key, frame):
+        whole = product(_matrices(frame.sort_values("node")))
+        return pd.DataFrame([{"row": key[0], "node": key[1]} | _flat(whole)])
+
+    def down(key, frame):
+        frame = frame.sort_values("node")
+        span = None
+        if "e0" in frame.columns:
+            e0, e1, x0, x1 = (int(frame[c].iloc[0]) for c in ("e0", "e1", "x0", "x1"))
+            span = (e0, e1), (x0, x1)
+        states = cut_states(_matrices(frame), span)
+        out = frame[["row", "node"]].copy()
+        for i, names in enumerate((("e0", "e1"), ("x0", "x1"))):
+            for j, name in enumerate(names):
+                out[name] = [s[j] for s in (states[1:] if i else states[:-1])]
         return out
 
-    # A text's matrices: some kilobytes for each part, however long the part.
-    states = matrices.groupBy("key").applyInPandas(join, "key string, part int, e0 int, e1 int, x0 int, x1 int")
+    group = F.floor(F.col("node") / fan).cast("int").alias("group")
+    levels = [matrices]
+    while most > fan:
+        most = -(-most // fan)
+        levels.append(written(levels[-1].groupBy("row", group).applyInPandas(up, _MATRIX)))
+    spans = levels[-1].groupBy("row", group).applyInPandas(down, _SPAN)
+    for level in levels[-2::-1]:
+        ends = spans.withColumnRenamed("node", "group")
+        spans = level.withColumn("group", group).join(ends, ["row", "group"]).groupBy("row", "group").applyInPandas(down, _SPAN)
+    return spans
+
+
+def encode_giant(docs: DataFrame, model: str | None = None, size: int = PART, fan: int = FAN) -> DataFrame:
+    """(_FACTS, part, parts, ids) of every part of every text of a (doc_id, text) table."""
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Written, since rows are numbered by their task and all scans of the parts must agree.
+    parts = written(giant_parts(docs, size, lattice(model).longest).repartition(tasks, "row", "part"))
+    most = parts.agg(F.max("parts")).first()[0] or 0
+
+    def transfers():
+        own = lattice(model)
+
+        def each(b: pa.RecordBatch) -> dict:
+            got = [_flat(own.transfer(r["s"], r["lo"], r["hi"], r["part"] == 0, r["part"] + 1 == r["parts"])) for r in b.to_pylist()]
+            return {"row": b.column("row"), "node": b.column("part")} | {k: [g[k] for g in got] for k in ("entries", "exits", "value")}
+
+        return each
+
+    matrices = written(map_batches(parts, transfers, _MATRIX))
+    states = part_states(matrices, most, fan).withColumnRenamed("node", "part")
+    names = [x.split()[0] for x in _FACTS.split(", ")] + ["part", "parts"]
 
     def back():
-        lattice = Lattice(model)
+        own = lattice(model)
 
         def each(b: pa.RecordBatch) -> dict:
-            ids = [lattice.part(r["s"], r["lo"], r["hi"], (r["e0"], r["e1"]), (r["x0"], r["x1"])) for r in b.to_pylist()]
-            return {"key": b.column("key"), "part": b.column("part"), "parts": b.column("parts"), "ids": ids}
+            ids = [own.part(r["s"], r["lo"], r["hi"], (r["e0"], r["e1"]), (r["x0"], r["x1"])) for r in b.to_pylist()]
+            return {n: b.column(n) for n in names} | {"ids": ids}
 
         return each
 
-    return map_batches(parts.join(states, ["key", "part"]), back, "key string, part int, parts int, ids binary")
+    return map_batches(parts.join(states, ["row", "part"]), back, f"{_FACTS}, part int, parts int, ids binary")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, giant: int = GIANT, size: int = PART) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, giant: int = GIANT, size: int = PART, fan: int = FAN) -> DataFrame:
     """doc_id, part, parts, ids (little-endian 32-bit integers): one row for each part of each row's text.
 
     The ids are the library's, without begin or end. Null and empty texts have one part without ids. Repeated
@@ -373,80 +606,76 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     rows = texts_of(docs, id_col, text_col)
     long = F.coalesce(F.char_length("text") > giant, F.lit(False))
     short = encode_short(rows.filter(~long), model).select("doc_id", F.lit(0).alias("part"), F.lit(1).alias("parts"), "ids")
-    big = rows.filter(long)
-    keys = big.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
-    return short.unionByName(keys.join(encode_giant(big, model, size), "key").select("doc_id", "part", "parts", "ids"))
+    return short.unionByName(encode_giant(rows.filter(long), model, size, fan).select("doc_id", "part", "parts", "ids"))
 
 
 def decode(encoded: DataFrame, column: str = "ids", model: str | None = None) -> DataFrame:
     """``encoded`` with ``bytes``, the UTF-8 of the ids' text (the added space included in a first part)."""
     from .common import StructType
-
-    bound_batches(encoded.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     at, out = encoded.columns.index(column), StructType([*encoded.schema.fields, *StructType.fromDDL("bytes binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, schema = Lattice(model), to_arrow_schema(out)
-        for b in batches:
-            new = pa.array([None if x is None else lattice.decode_bytes(x) for x in b.column(at).to_pylist()], pa.binary())
+        own, schema = lattice(model), to_arrow_schema(out)
+        for b in slices(batches):
+            new = pa.array([None if x is None else own.decode_bytes(x) for x in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, new], schema=schema)
 
     return encoded.mapInArrow(run, out)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, giant: int = GIANT, size: int = PART) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, giant: int = GIANT, size: int = PART, fan: int = FAN) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_crc32, parts, same: digests of every row's ids, and whether they decode to its text.
 
     Texts are compared by length and CRC-32, U+2581 counting as a space. Giant texts' parts are digested where
-    they are and only the digests are gathered.
+    they are and only the digests are gathered: some bytes for each part.
     """
+    import pandas as pd
+
     rows = texts_of(docs, id_col, text_col)
     n_chars = F.coalesce(F.char_length("text"), F.lit(0))
-    plain = F.translate("text", SPACE, " ")
-    # What decoding must give: the added space and the text; nothing for an empty text.
-    want = F.when(n_chars > 0, F.concat(F.lit(" "), plain)).otherwise("").cast("binary")
 
-    def digest(encoded: DataFrame, keep: str) -> DataFrame:
-        names = [part.split()[0] for part in keep.split(", ")]
-
-        def make():
-            lattice = Lattice(model)
+    def short_make():
+        own = lattice(model)
 
-            def each(b: pa.RecordBatch) -> dict:
-                ids = b.column("ids").to_pylist()
-                texts = [lattice.decode_bytes(i) for i in ids]
-                return {n: b.column(n) for n in names} | {"n_tokens": [len(i) // 4 for i in ids], "ids_crc32": [crc32(i) for i in ids], "d_bytes": [len(t) for t in texts], "d_crc": [crc32(t) for t in texts]}
+        def each(b: pa.RecordBatch) -> dict:
+            texts = b.column("text").to_pylist()
+            ids = own.encode_all(texts)
+            # What decoding must give: the added space and the text; nothing for an empty text.
+            want = [(" " + t.replace(SPACE, " ")).encode() if t else b"" for t in texts]
+            back = [own.decode_bytes(i) for i in ids]
+            return {
+                "doc_id": b.column("doc_id"), "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": [len(i) // 4 for i in ids], "ids_crc32": [crc32(i) for i in ids],
+                "same": [len(x) == len(y) and crc32(x) == crc32(y) for x, y in zip(want, back, strict=True)],
+            }
 
-            return each
+        return each
 
-        return map_batches(encoded, make, f"{keep}, n_tokens long, ids_crc32 long, d_bytes long, d_crc long")
+    short = map_batches(rows.filter(n_chars <= giant), short_make, "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, same boolean")
+    names = [x.split()[0] for x in _FACTS.split(", ")] + ["part"]
 
-    facts = "doc_id long, n_bytes long, w_bytes long, w_crc long"
-    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    described = rows.select("doc_id", "text", n_chars.alias("n"), length.alias("n_bytes"), F.octet_length(want).cast("long").alias("w_bytes"), F.crc32(want).alias("w_crc"))
+    def digest():
+        own = lattice(model)
 
-    def short_make():
-        lattice = Lattice(model)
-        return lambda b: {x.split()[0]: b.column(x.split()[0]) for x in facts.split(", ")} | {"ids": [lattice.encode(t) for t in b.column("text").to_pylist()]}
+        def each(b: pa.RecordBatch) -> dict:
+            ids = b.column("ids").to_pylist()
+            texts = [own.decode_bytes(i) for i in ids]
+            return {n: b.column(n) for n in names} | {"n_tokens": [len(i) // 4 for i in ids], "ids_crc32": [crc32(i) for i in ids], "d_bytes": [len(t) for t in texts], "d_crc": [crc32(t) for t in texts]}
 
-    short = map_batches(described.filter(F.col("n") <= giant), short_make, f"{facts}, ids binary")
-    short = digest(short, facts).withColumn("parts", F.lit(1))
-    big = described.filter(F.col("n") > giant)
-    pieces = digest(encode_giant(rows.filter(n_chars > giant), model, size), "key string, part int, parts int")
+        return each
 
-    def fold(key, frame):
-        import pandas as pd
+    pieces = map_batches(encode_giant(rows.filter(n_chars > giant), model, size, fan), digest, f"{_FACTS}, part int, n_tokens long, ids_crc32 long, d_bytes long, d_crc long")
 
+    def fold(frame):
         frame = frame.sort_values("part")
         crc = d_crc = 0
         for n, c, m, d in zip(frame["n_tokens"], frame["ids_crc32"], frame["d_bytes"], frame["d_crc"], strict=True):
             crc, d_crc = crc32_combine(crc, c, 4 * n), crc32_combine(d_crc, d, m)
-        return pd.DataFrame({"key": [key[0]], "parts": [len(frame)], "n_tokens": [frame["n_tokens"].sum()], "ids_crc32": [crc], "d_bytes": [frame["d_bytes"].sum()], "d_crc": [d_crc]})
+        one = frame.iloc[:1]
+        same = frame["d_bytes"].sum() == one["w_bytes"].iloc[0] and d_crc == one["w_crc"].iloc[0]
+        return pd.DataFrame({"doc_id": one["doc_id"].astype("Int64"), "n_bytes": one["n_bytes"], "n_tokens": frame["n_tokens"].sum(), "ids_crc32": crc, "parts": len(frame), "same": same})
 
-    whole = pieces.groupBy("key").applyInPandas(fold, "key string, parts int, n_tokens long, ids_crc32 long, d_bytes long, d_crc long")
-    keyed = big.withColumn("key", F.sha2(F.col("text").cast("binary"), 256)).drop("text", "n")
-    out = short.unionByName(keyed.join(whole, "key").drop("key"))
-    same = (F.col("d_bytes") == F.col("w_bytes")) & (F.col("d_crc") == F.col("w_crc"))
-    return out.select("doc_id", "n_bytes", "n_tokens", "ids_crc32", "parts", same.alias("same"))
+    whole = pieces.groupBy("row").applyInPandas(fold, "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, parts int, same boolean")
+    out = short.withColumn("parts", F.lit(1)).unionByName(whole)
+    return out.select("doc_id", "n_bytes", "n_tokens", "ids_crc32", "parts", "same")

@@ -35,7 +35,8 @@ def test_scan_is_the_library(spark, docs, small, library):
             ids = library.encode(r[1] or "")
             want[r[0], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len((r[1] or "").encode())] += 1
         got = Counter()
-        for r in rows(sentencepiece_scan.round_trip(table, giant=500, size=128)):
+        # A fan of 4 gives the longest text's 600 parts a tree of five levels.
+        for r in rows(sentencepiece_scan.round_trip(table, giant=500, size=128, fan=4)):
             assert r["same"]
             got[r["doc_id"], r["n_tokens"], r["ids_crc32"], r["n_bytes"]] += 1
         assert got == want
@@ -57,6 +58,32 @@ def test_parts_join_at_any_cut(library):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
 
 
+def test_units_together_are_units_alone(small, library):
+    """The array scan gives what the scan of one unit gives, and the library."""
+    lattice = sentencepiece_scan.Lattice()
+    texts = [r[0] for r in small.select("text").collect()] + ["", None, "日本語 🙂x\n\n ▁a  b", "x" * 500, "a" * 63 + " b", " ", "\n"]
+    got = lattice.encode_all(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "")
+    units = sorted({u for t in texts if t for u in sentencepiece_scan.pretokens(t)})[:3000]
+    assert [i for i, _ in lattice.solve(units)] == [lattice.alone_ids(u) for u in units]
+
+
+def test_cutting_and_combining_are_linear(spark, tmp_path):
+    """One text of 8 MB: cut in one walk, matrices combined some at a time, decoded back to itself."""
+    import time
+
+    line = "the quick brown fox jumps over a lazy dog near 10 rivers and writes about it\n"
+    took = []
+    for mb in (1, 8):
+        spark.createDataFrame([(1, line * (mb * 1_000_000 // len(line)))], "doc_id long, text string").write.parquet(f"{tmp_path}/{mb}")
+        began = time.perf_counter()
+        got = rows(sentencepiece_scan.round_trip(spark.read.parquet(f"file://{tmp_path}/{mb}")))
+        took.append(time.perf_counter() - began)
+        assert got[0]["same"] and got[0]["parts"] == -(-(mb * 1_000_000 // len(line) * len(line) + 1) // sentencepiece_scan.PART)
+    assert took[1] < 12 * took[0] + 5
+
+
 def test_unigram_scan_is_the_best_path():
     from sentencepiece import sentencepiece_model_pb2
 
@@ -299,6 +326,38 @@ def test_packing(docs, small):
                 assert len(sequences) <= 1.05 * -(-total // 1024) + 2
 
 
+def test_rising_bins_do_not_depend_on_the_layout(spark, monkeypatch):
+    """Long documents in most parts and tiny ones in a few: no more bins rise than small ones can fill."""
+    long = " ".join(f"word{i % 50}" for i in range(330))
+    shape = "doc_id long, text string"
+    table = spark.createDataFrame([(i, long) for i in range(600)], shape).repartition(20).union(spark.createDataFrame([(1000 + i, "a b") for i in range(4)], shape).repartition(4))
+    moved = []
+    keep = packing.written
+
+    def spy(df):
+        out = keep(df)
+        if "parent" in df.columns and "node" in df.columns:
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(packing, "written", spy)
+    got = rows(packing.pack(table))
+    assert len(got) == 604 and len({r["sequence_id"] for r in got}) == 600
+    assert moved and max(moved) <= 8
+
+
+def test_rising():
+    assert packing.rising({1000: 50, 900: 10, 20: 3, 100: 1}) == {1000: 3, 900: 1, 20: 3, 100: 1}
+    assert packing.rising({600: 50}) == {} and packing.rising({500: 1, 600: 9}) == {}
+    assert packing.rising({500: 2}) == {500: 2} and packing.rising({}) == {}
+
+
+def test_long_units_are_not_remembered():
+    tokenizer = packing.ByteTokenizer()
+    text = "x" * 200_000
+    assert tokenizer(text) == tokenizer._whole(text) and not tokenizer.memo
+
+
 def test_cut_and_best_fit():
     assert packing.cut(1024) == [(0, 1024)] and packing.cut(1025) == [(0, 1), (1, 1024)] and packing.cut(2048) == [(0, 1024), (1024, 1024)]
     at, offset, fills = packing.best_fit(np.array([600, 500, 400, 424, 100, 24]))
