@@ -5,7 +5,7 @@ joined by single spaces. A keyword automaton says which rules can match at all;
 expressions run. Overlapping detections are resolved in the order of priority, then length: one that lies
 within a detection that was already kept is suppressed. The base phrases always stay.
 
-The rules are generated from the families below, each with its versions and the ways to refer to it.
+The rules are written by hand, one a line, in ``license_rules``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts_of
+from .license_rules import FORMS, KINDS, RULES
 
 #: Bytes that are not part of a word become spaces and A-Z become a-z, in one step.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -26,53 +27,6 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 #: The base phrases.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Label, keyword, ways to name it, versions as written in words (empty: without a version).
-FAMILIES = (
-    ("gpl", "gnu", ("gnu general public license", "gnu gpl"), ("1", "2", "3")),
-    ("lgpl", "gnu", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl"), ("2", "2 1", "3")),
-    ("agpl", "gnu", ("gnu affero general public license", "gnu agpl"), ("1", "3")),
-    ("gfdl", "gnu", ("gnu free documentation license", "gnu fdl"), ("1 1", "1 2", "1 3")),
-    ("apache", "apache", ("apache software license", "apache license"), ("1", "1 0", "1 1", "2", "2 0")),
-    ("mpl", "mozilla", ("mozilla public license",), ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", ("eclipse public license",), ("1 0", "2 0")),
-    ("cddl", "common", ("common development and distribution license",), ("1 0", "1 1")),
-    ("cpl", "common", ("common public license",), ("0 5", "1 0")),
-    ("eupl", "european", ("european union public licence", "european union public license"), ("1 0", "1 1", "1 2")),
-    ("osl", "open", ("open software license",), ("1 0", "1 1", "2 0", "2 1", "3 0")),
-    ("afl", "academic", ("academic free license",), ("1 1", "1 2", "2 0", "2 1", "3 0")),
-    ("artistic", "artistic", ("artistic license",), ("1 0", "2 0")),
-    ("boost", "boost", ("boost software license",), ("1 0",)),
-    ("ms-pl", "microsoft", ("microsoft public license",), ("",)),
-    ("ms-rl", "microsoft", ("microsoft reciprocal license",), ("",)),
-    ("odbl", "open", ("open database license",), ("1 0",)),
-    ("ofl", "sil", ("sil open font license",), ("1 0", "1 1")),
-    ("zlib", "zlib", ("zlib license", "zlib libpng license"), ("",)),
-    ("isc", "isc", ("isc license",), ("",)),
-    ("unlicense", "unlicense", ("the unlicense",), ("",)),
-    ("wtfpl", "public", ("do what the fuck you want to public license",), ("", "2")),
-    ("mit", "mit", ("mit license", "mit licence", "mit x11 license", "expat license"), ("",)),
-    ("python", "python", ("python software foundation license",), ("", "2")),
-    ("php", "php", ("php license",), ("3 0", "3 01")),
-    ("llama", "llama", ("llama community license", "llama 2 community license", "llama 3 community license"), ("",)),
-    ("openrail", "open", ("open rail m license", "creativeml open rail m license"), ("",)),
-)
-#: Creative Commons conditions, versions, and the words of their long names.
-CC_PARTS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
-CC_VERSIONS = ("", "1 0", "2 0", "2 5", "3 0", "4 0")
-CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:atives|s)"}
-BSD_CLAUSES = (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four"))
-#: Notices without a license's name.
-NOTICES = (
-    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("zlib", "software", r"this software is provided as is without any express or implied warranty in no event"),
-    ("public-domain", "public", r"(?:released into|dedicated to|placed in|in) the public domain"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("all-rights-reserved", "reserved", r"all rights reserved"),
-    ("proprietary", "proprietary", r"proprietary and confidential"),
-)
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -83,40 +37,16 @@ class Rule:
     strength: float
 
 
-def _rules() -> list[Rule]:
-    """All rules, most specific first: SPDX identifiers, grants, versioned names, bare names, notices."""
-    out: list[Rule] = []
-
-    def add(label: str, priority: int, keyword: str, body: str, strength: float) -> None:
-        out.append(Rule(label, priority, keyword, re.compile(f"(?<![^ ]){body}(?![^ ])"), strength))
-
-    for label, keyword, names, versions in FAMILIES:
-        for v in versions:
-            full = f"{label}-{v.replace(' ', '.')}" if v else label
-            tail = f",? ?(?:version |v ?){v}" if v else ""
-            add(full, 50, "spdx", f"spdx license identifier {label.replace('-', ' ')}{' ' + v if v else ''}(?: only| or later)?", 1.0)
-            for name in names:
-                add(full, 40, keyword, f"(?:licensed|distributed|released|available) under (?:the )?(?:terms of the )?{name}{tail}", 0.95)
-                if v:
-                    add(f"{full}-or-later", 45, keyword, f"{name}{tail} or (?:any|at your option any) later(?: version)?", 0.95)
-                    add(full, 30, keyword, f"{name}{tail}", 0.9)
-        for name in names:
-            add(label, 10, keyword, name, 0.6)
-    for parts in CC_PARTS:
-        words = [CC_WORDS[p] for p in parts.split()]
-        for v in CC_VERSIONS:
-            label = f"cc-{parts.replace(' ', '-')}" + (f"-{v.replace(' ', '.')}" if v else "")
-            # Longer condition lists rank above their own beginnings.
-            rank = 20 + 2 * len(words) + bool(v)
-            add(label, rank, "cc", f"cc {parts}{' ' + v if v else ''}", 0.9)
-            add(label, rank, "creative", f"creative commons {' '.join(words)}{'(?: (?:international|unported|generic))? ' + v if v else ''}(?: (?:international|unported|generic))?(?: licen[sc]e)?", 0.95)
-            add(label, rank, "creativecommons", f"creativecommons org licenses {parts}{' ' + v if v else ''}", 1.0)
-    for digit, word in BSD_CLAUSES:
-        for form in (f"bsd {digit} clause", f"{digit} clause bsd", f"bsd {word} clause", f"{word} clause bsd"):
-            add(f"bsd-{digit}-clause", 30, "bsd", f"{form}(?: licen[sc]e)?", 0.95)
-    add("bsd", 10, "bsd", "bsd (?:style )?licen[sc]e", 0.6)
-    for label, keyword, body in NOTICES:
-        add(label, 15, keyword, body, 0.7)
+def parse_rules(lines: str = RULES) -> list[Rule]:
+    """The rules of a table of lines, in their order."""
+    out = []
+    for line in lines.splitlines():
+        if not line.strip() or line.startswith("#"):
+            continue
+        label, kind, keyword, body = (x.strip() for x in line.split(" | ", 3))
+        body = re.sub("<([a-z]+)>", lambda m: FORMS[m[1]], body)
+        priority, strength = KINDS[kind]
+        out.append(Rule(label, priority, keyword, re.compile(f"(?<![^ ])(?:{body})(?![^ ])"), strength))
     return out
 
 
@@ -125,7 +55,7 @@ class Scanner:
         import ahocorasick
 
         self.rules: dict[str, list[Rule]] = {}
-        for rule in _rules():
+        for rule in parse_rules():
             self.rules.setdefault(rule.keyword, []).append(rule)
         self.gate = ahocorasick.Automaton()
         for keyword in self.rules:
