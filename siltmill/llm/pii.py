@@ -11,9 +11,15 @@ Base kinds, leftmost and non-overlapping within their kind, exactly as these exp
 * card ``[0-9]([\\x20-]?[0-9])+``, 14 to 19 digits that pass Luhn
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]``, 10 to 15 digits
 
-A match that fails its check is dropped and not retried. Added kinds: url (scheme anchored), account (an IBAN,
-or digits after a cue such as ``account``), secret (a value after ``password=``, ``token =`` and the like).
-Added spans may overlap base ones; base ones always stay.
+A match that fails its check is dropped and not retried. Added kinds, none of which starts inside a word:
+
+* url: a scheme and what follows it up to white space or a quote
+* account: an IBAN wherever it stands (its country's length, and 97 as modulus), or a number after a cue such as
+  ``account no.``, held to the form its cue calls for
+* secret: a value after a cue and a sign of assignment, as in ``API key = ...``; after a colon, or without quotes,
+  plain words are no secrets
+
+Cues count in any casing. Added spans may overlap base ones; base ones always stay.
 """
 
 from __future__ import annotations
@@ -22,15 +28,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, map_batches, texts_of
+from .common import append_columns, free_name, map_batches, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
 
-# Anchors.
+# Anchors. An account's cue says which form its number must have.
 SCHEMES = ("http://", "https://", "ftp://", "ftps://", "ssh://", "sftp://")
-ACCOUNT_CUES = ("account", "acct", "iban", "routing", "passport", "ssn", "licence no", "license no")
-SECRET_CUES = ("password", "passwd", "pwd", "token", "api_key", "apikey", "api key", "secret")
+ACCOUNT_CUES = {
+    "account": "number", "acct": "number", "a/c": "number", "kontonummer": "number", "sort code": "sort code", "routing": "routing", "aba": "routing", "iban": "iban",
+    "passport": "document", "licence": "document", "license": "document", "ssn": "ssn", "social security": "ssn",
+}
+SECRET_CUES = ("password", "passwd", "passphrase", "pwd", "token", "api_key", "api-key", "apikey", "api key", "secret", "secret_key", "access_key", "access key", "private_key", "private key", "client_secret")
+#: Words that may stand between an account's cue and its number, the longest first; only they make short numbers count.
+NUMBER_WORDS = ("numbers", "number", "num", "no", "nr", "id", "code")
+
+# The length of an IBAN by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30,
+    "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 _DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
@@ -55,19 +75,32 @@ def iban_ok(text: str) -> bool:
 
 
 def automaton():
+    """Anchors over a text in lower case: sign or kind, length, and for accounts the form of the number."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for word in ("@", "+", *"0123456789"):
-        a.add_word(word, (word if word in "@+" else "0", len(word)))
-    for kind, words in (("url", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
-        for word in words:
-            for form in {word, word.upper(), word.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+        a.add_word(word, (word if word in "@+" else "0", len(word), ""))
+    for word in SCHEMES:
+        a.add_word(word, ("url", len(word), ""))
+    for word, form in ACCOUNT_CUES.items():
+        a.add_word(word, ("account", len(word), form))
+    for word in SECRET_CUES:
+        a.add_word(word, ("secret", len(word), ""))
     a.make_automaton()
     return a
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    """A to Z in lower case, everything at its place."""
+    low = text.lower()
+    # Only some letters beyond ASCII change their number of characters.
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
 def _email(t: str, at: int, floor: int) -> tuple[int, int] | None:
     """Expands an at-sign; floor: where the last email ended."""
     lo = at
@@ -144,24 +177,72 @@ def _url(t: str, lo: int, body: int) -> tuple[int, int] | None:
     return (lo, end) if end > body else None
 
 
-def _account(t: str, end: int) -> tuple[int, int] | None:
-    """What follows an account cue: up to three signs or short words, then an IBAN or 6 to 18 digits."""
-    n, i = len(t), end
-    limit = min(n, end + 16)
-    while i < limit and t[i] not in _DIGITS and not (t[i].isupper() and t[i] in _ALNUM and i + 3 < n and t[i + 1 : i + 2].isupper() and t[i + 2] in _DIGITS and t[i + 3] in _DIGITS):
+def _free(t: str, lo: int) -> bool:
+    """No letter or digit stands before lo."""
+    return lo == 0 or not t[lo - 1].isalnum()
+
+
+def _iban(t: str, lo: int) -> tuple[int, int] | None:
+    """An IBAN from its country's letters, in one piece or with single spaces."""
+    size, n = IBAN_LENGTH.get(t[lo : lo + 2].upper()), len(t)
+    if size is None or not _free(t, lo):
+        return None
+    body, i = "", lo
+    while i < n and len(body) < size:
+        if t[i] in _ALNUM:
+            body += t[i]
+        elif not (t[i] == " " and i > lo and t[i - 1] in _ALNUM):
+            return None
         i += 1
-    if i >= limit:
+    if len(body) < size or (i < n and t[i].isalnum()) or body[2] not in _DIGITS or body[3] not in _DIGITS:
         return None
-    if t[i] not in _DIGITS:
-        stop, body = i, ""
-        while stop < n and len(body) < 34 and (t[stop] in _ALNUM or (t[stop] == " " and stop + 1 < n and t[stop + 1] in _ALNUM)):
-            body += t[stop].strip()
+    return (lo, i) if iban_ok(body.upper()) else None
+
+
+def _account(t: str, low: str, end: int, form: str) -> tuple[int, int] | None:
+    """The number after an account's cue, if it has the cue's form."""
+    n, i, marked = len(t), end, False
+    if i < n and t[i].isalnum():  # the cue goes on as another word
+        return None
+    while i < n:
+        if t[i] in " \t":
+            i += 1
+        elif t[i] in ":#=.":
+            marked, i = True, i + 1
+        elif word := next((w for w in NUMBER_WORDS if low.startswith(w, i) and not low[i + len(w) : i + len(w) + 1].isalnum()), None):
+            marked, i = True, i + len(word)
+        else:
+            break
+        if i > end + 24:
+            return None
+    if i >= n or t[i] not in _ALNUM or (i == end):
+        return None
+    if got := _iban(t, i):
+        return got
+    if form == "document":
+        stop = i
+        while stop < n and t[stop] in _ALNUM:
             stop += 1
-            if len(body) >= 15 and (stop == n or t[stop] not in _ALNUM) and iban_ok(body.upper()):
-                return i, stop
+        digits = sum(c in _DIGITS for c in t[i:stop])
+        return (i, stop) if marked and 6 <= stop - i <= 16 and digits >= 5 else None
+    if t[i] not in _DIGITS:
         return None
     stop, digits = _card(t, i)
-    return (i, stop) if 6 <= len(digits) <= 18 else None
+    if stop < n and t[stop].isalnum():
+        return None
+    whole = stop - i == len(digits)
+    if form == "ssn":
+        ok = len(digits) == 9 and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+    elif form == "routing":
+        ok = whole and len(digits) == 9 and sum(int(d) * (3, 7, 1)[k % 3] for k, d in enumerate(digits)) % 10 == 0
+    elif form == "sort code":
+        ok = len(digits) == 6
+    elif form == "iban":
+        ok = False
+    else:
+        # Without a word or sign that says so, only a long number in one piece is an account's.
+        ok = 6 <= len(digits) <= 18 if marked else whole and 8 <= len(digits) <= 18
+    return (i, stop) if ok else None
 
 
 def _secret(t: str, end: int) -> tuple[int, int] | None:
@@ -171,13 +252,19 @@ def _secret(t: str, end: int) -> tuple[int, int] | None:
         i += 1
     if i >= n or t[i] not in "=:":
         return None
-    i += 1
+    sign, i = t[i], i + 1
+    while i < n and t[i] in "=>":
+        i += 1
+    quoted = False
     while i < n and t[i] in " \t\"'":
+        quoted |= t[i] in "\"'"
         i += 1
     stop = i
     while stop < n and t[stop] not in _VALUE_END:
         stop += 1
-    return (i, stop) if stop - i >= 6 else None
+    value = t[i:stop].rstrip(".!?")
+    plain = value.isalpha() and (value.islower() or value[1:].islower())
+    return (i, i + len(value)) if len(value) >= 6 and not (plain and (sign == ":" or not quoted)) else None
 
 
 def find(text: str | None, auto) -> list[tuple[str, int, int]]:
@@ -186,10 +273,13 @@ def find(text: str | None, auto) -> list[tuple[str, int, int]]:
         return []
     spans: list[tuple[int, int, int]] = []
     done = dict.fromkeys(KINDS, 0)  # where the last match of a kind ended, whether it passed or not
-    t, n = text, len(text)
-    for last, (what, size) in auto.iter(text):
+    t, n, low = text, len(text), lowered(text)
+    for last, (what, size, form) in auto.iter(low):
         lo = last + 1 - size
         if what == "0":
+            if lo >= 2 and t[lo - 1].isalpha() and lo >= done["account"] and t[lo - 2].isalpha() and (got := _iban(t, lo - 2)):
+                done["account"] = got[1]
+                spans.append((got[0], KINDS.index("account"), got[1]))
             if lo >= done["card"]:
                 end, digits = _card(t, lo)
                 if end - lo > 1:
@@ -216,8 +306,8 @@ def find(text: str | None, auto) -> list[tuple[str, int, int]]:
                 done["phone"] = got[1]
                 if 10 <= len(got[2]) <= 15:
                     spans.append((lo, 3, got[1]))
-        elif lo >= done[what]:
-            got = _url(t, lo, last + 1) if what == "url" else _account(t, last + 1) if what == "account" else _secret(t, last + 1)
+        elif lo >= done[what] and _free(t, lo):
+            got = _url(t, lo, last + 1) if what == "url" else _account(t, low, last + 1, form) if what == "account" else _secret(t, last + 1)
             if got:
                 done[what] = got[1]
                 spans.append((got[0], KINDS.index(what), got[1]))
@@ -275,7 +365,8 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def make():
         auto = automaton()
-        return lambda texts: {"__redacted": [redact(t, auto) for t in texts]}
+        return lambda texts: {new: [redact(t, auto) for t in texts]}
 
-    out = append_columns(docs, text_col, make, "__redacted string")
-    return out.withColumn(text_col, F.col("__redacted")).drop("__redacted")
+    new = free_name(docs, "redacted")
+    out = append_columns(docs, text_col, make, f"`{new}` string")
+    return out.withColumn(text_col, F.col(new)).drop(new)
