@@ -40,7 +40,7 @@ NONE = float("-inf")
 #: Pre-tokens longer than this are solved on their own and not remembered.
 MEMORABLE = 64
 #: Remembered pre-tokens, and characters of texts and pre-tokens that are encoded together.
-REMEMBERED, AT_ONCE, TOGETHER = 300_000, 4_000_000, 400_000
+REMEMBERED, AT_ONCE, TOGETHER = 250_000, 2_000_000, 100_000
 #: Places for remembered pairs of neighbours, a power of two.
 PAIRS = 1 << 21
 #: Unknown characters are numbered from here in arrays, after all pieces; NOTHING stands before a text.
@@ -59,70 +59,75 @@ def _place(pair: np.ndarray) -> np.ndarray:
     return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - PAIRS.bit_length())).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def _pair_table(model: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A model's remembered pairs of neighbours and whether they fit, which a worker keeps between its tasks."""
+    return np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+
+
+def surfaces(proto) -> list[bytes]:
+    """What each piece decodes to."""
+    out = []
+    for p in proto.pieces:
+        out.append(bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() if p.type in (NORMAL, USER_DEFINED, UNUSED) else b"")
+    return out
+
+
+def decoder(model: str | None = None):
+    """The function from ids (little-endian 32-bit integers) to UTF-8, which needs no lattice."""
+    surface = surfaces(load_proto(model))
+    return lambda ids: b"".join([surface[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
 class Lattice:
     """A model's pieces with the space sign written as a space."""
 
     def __init__(self, model: str | None = None, proto=None):
+        public = proto is None
         proto = proto or load_proto(model)
         self.bpe = proto.trainer_spec.model_type == BPE
         self.score: dict[str, float] = {}
         self.packed: dict[str, bytes] = {}
-        self.surface: list[bytes] = []
+        self.surface = surfaces(proto)
         pack = lambda i: np.array([i], "<u4").tobytes()
         self.byte_ids: dict[int, bytes] = {}
         self.unknown = pack(0)
         for i, p in enumerate(proto.pieces):
-            self.surface.append(b"")
             if p.type == BYTE:
-                value = int(p.piece[3:5], 16)
-                self.byte_ids[value] = pack(i)
-                self.surface[i] = bytes([value])
+                self.byte_ids[int(p.piece[3:5], 16)] = pack(i)
             elif p.type in (NORMAL, USER_DEFINED, UNUSED):
                 text = p.piece.replace(SPACE, " ")
                 self.score[text], self.packed[text] = p.score, pack(i)
-                self.surface[i] = text.encode()
             elif p.type == 2:
                 self.unknown = pack(i)
         self.longest = max(map(len, self.score))
-        # A character tree of the pieces: character -> (its node's children, the piece that ends there or None).
-        self.tree: dict = {}
-        for t in self.score:
-            node = self.tree
-            for c in t[:-1]:
-                node = node.setdefault(c, [{}, None])[0]
-            node.setdefault(t[-1], [{}, None])[1] = t
         # An unknown character costs more than the worst piece, as the library has it.
         self.worst = min(self.score.values(), default=0.0) - 10.0
-        self.pairs = Generations(self._pair, 400_000)
-        self.alone = Generations(lambda t: self.merged(t) == [t], 60_000)
+        self.pairs = Generations(self._pair, 20_000)
+        self.alone = Generations(lambda t: self.merged(t) == [t], 20_000)
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self._number_tree()
-
-    def _number_tree(self) -> None:
-        """The character tree as arrays: (node, character) -> child, and the piece that ends at each node."""
-        keys, children, ends, todo = [], [], [-1], [(0, self.tree)]
-        self.names: dict[int, str] = {}
-        while todo:
-            node, kids = todo.pop()
-            for c, (below, piece) in kids.items():
-                keys.append(node << 21 | ord(c))
-                children.append(len(ends))
-                todo.append((len(ends), below))
-                if piece is None:
+        # The pieces' character tree, as a dictionary and as arrays: node << 21 | character -> child, and the piece
+        # that ends at each node.
+        self.names = {int.from_bytes(i, "little"): t for t, i in self.packed.items()}
+        self.step: dict[int, int] = {}
+        ends = [-1]
+        for i, t in self.names.items():
+            node = 0
+            for c in t:
+                node = self.step.setdefault(node << 21 | ord(c), len(ends))
+                if node == len(ends):
                     ends.append(-1)
-                else:
-                    i = int(np.frombuffer(self.packed[piece], "<u4")[0])
-                    self.names[i] = piece
-                    ends.append(i)
-        order = np.argsort(np.array(keys, np.int64))
-        self.steps, self.children = np.array(keys, np.int64)[order], np.array(children, np.int64)[order]
+            ends[node] = i
         self.ends = np.array(ends, np.int64)
+        self.end_of = [self.names.get(i) for i in ends]
+        keys = np.fromiter(self.step, np.int64, len(self.step))
+        order = np.argsort(keys)
+        self.steps, self.children = keys[order], np.fromiter(self.step.values(), np.int64, len(self.step))[order]
         self.weight = np.zeros(max(self.names, default=0) + 1)
-        for i, piece in self.names.items():
-            self.weight[i] = self.score[piece]
-        self.pair_key = np.full(PAIRS, -1, np.int64)
-        self.pair_fits = np.zeros(PAIRS, bool)
+        for i, t in self.names.items():
+            self.weight[i] = self.score[t]
+        self.pair_key, self.pair_fits = _pair_table(model) if public else (np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool))
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text by merging the best neighbours, the leftmost of equals, until none is a piece."""
@@ -152,7 +157,7 @@ class Lattice:
         Pieces start before ``stop`` and may end beyond it. With one start, one last piece a place is enough: the
         best for a unigram model, the only possible one for BPE.
         """
-        score, tree, bpe, fits = self.score, self.tree, self.bpe, self._fits
+        score, step, ends, bpe, fits = self.score, self.step, self.end_of, self.bpe, self._fits
         nodes: dict[int, tuple[int, float]] = {begin: (-1, 0.0)}
         last: dict[int, str | None] = {begin: before}
         n = len(s)
@@ -161,15 +166,15 @@ class Lattice:
             if node is None:
                 continue
             value, prev, p = node[1], last[q], q
-            step = tree.get(s[q])
-            if step is None or step[1] is None:  # a character that is no piece stands for itself
+            at = step.get(ord(s[q]))
+            if at is None or ends[at] is None:  # a character that is no piece stands for itself
                 v = value if bpe else value + self.worst
                 old = nodes.get(q + 1)
                 if (old is None or v > old[1]) and fits(prev, s[q]):
                     nodes[q + 1], last[q + 1] = (q, v), s[q]
-            while step is not None:
+            while at is not None:
                 p += 1
-                t = step[1]
+                t = ends[at]
                 if t is not None:
                     v = value if bpe else value + score[t]
                     old = nodes.get(p)
@@ -177,7 +182,7 @@ class Lattice:
                         nodes[p], last[p] = (q, v), t
                 if p == n:
                     break
-                step = step[0].get(s[p])
+                at = step.get(at << 21 | ord(s[p]))
         return nodes
 
     def ids(self, pieces: list[str]) -> bytes:
@@ -462,17 +467,11 @@ def cut_states(parts: list[Matrix], span: tuple[State, State] | None = None) ->
     return [spans[0][0], *(s[1] for s in spans)]
 
 
-@lru_cache(maxsize=1)
-def lattice(model: str | None = None) -> Lattice:
-    """The lattice of a model, which a worker keeps: its memos are bounded."""
-    return Lattice(model)
-
-
 def encode_short(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids) of a (doc_id, text) table, each text in one part."""
 
     def make():
-        own = lattice(model)
+        own = Lattice(model)
         return lambda b: {"doc_id": b.column(0), "ids": own.encode_all(b.column(1).to_pylist())}
 
     return map_batches(docs, make, "doc_id long, ids binary")
@@ -569,11 +568,11 @@ def encode_giant(docs: DataFrame, model: str | None = None, size: int = PART, fa
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Written, since rows are numbered by their task and all scans of the parts must agree.
-    parts = written(giant_parts(docs, size, lattice(model).longest).repartition(tasks, "row", "part"))
+    parts = written(giant_parts(docs, size, max(map(len, (p.piece for p in load_proto(model).pieces if p.type in (NORMAL, USER_DEFINED, UNUSED))))).repartition(tasks, "row", "part"))
     most = parts.agg(F.max("parts")).first()[0] or 0
 
     def transfers():
-        own = lattice(model)
+        own = Lattice(model)
 
         def each(b: pa.RecordBatch) -> dict:
             got = [_flat(own.transfer(r["s"], r["lo"], r["hi"], r["part"] == 0, r["part"] + 1 == r["parts"])) for r in b.to_pylist()]
@@ -586,7 +585,7 @@ def encode_giant(docs: DataFrame, model: str | None = None, size: int = PART, fa
     names = [x.split()[0] for x in _FACTS.split(", ")] + ["part", "parts"]
 
     def back():
-        own = lattice(model)
+        own = Lattice(model)
 
         def each(b: pa.RecordBatch) -> dict:
             ids = [own.part(r["s"], r["lo"], r["hi"], (r["e0"], r["e1"]), (r["x0"], r["x1"])) for r in b.to_pylist()]
@@ -617,9 +616,9 @@ def decode(encoded: DataFrame, column: str = "ids", model: str | None = None) ->
     at, out = encoded.columns.index(column), StructType([*encoded.schema.fields, *StructType.fromDDL("bytes binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, schema = lattice(model), to_arrow_schema(out)
+        back, schema = decoder(model), to_arrow_schema(out)
         for b in slices(batches):
-            new = pa.array([None if x is None else own.decode_bytes(x) for x in b.column(at).to_pylist()], pa.binary())
+            new = pa.array([None if x is None else back(x) for x in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, new], schema=schema)
 
     return encoded.mapInArrow(run, out)
@@ -637,7 +636,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_chars = F.coalesce(F.char_length("text"), F.lit(0))
 
     def short_make():
-        own = lattice(model)
+        own = Lattice(model)
 
         def each(b: pa.RecordBatch) -> dict:
             texts = b.column("text").to_pylist()
@@ -656,11 +655,11 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [x.split()[0] for x in _FACTS.split(", ")] + ["part"]
 
     def digest():
-        own = lattice(model)
+        back = decoder(model)
 
         def each(b: pa.RecordBatch) -> dict:
             ids = b.column("ids").to_pylist()
-            texts = [own.decode_bytes(i) for i in ids]
+            texts = [back(i) for i in ids]
             return {n: b.column(n) for n in names} | {"n_tokens": [len(i) // 4 for i in ids], "ids_crc32": [crc32(i) for i in ids], "d_bytes": [len(t) for t in texts], "d_crc": [crc32(t) for t in texts]}
 
         return each
