@@ -272,10 +272,46 @@ def test_nearest_odd_vectors(spark):
     data = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [3.0, 1.0]), (6, [3.0, 1.0]), (6, [3.0, 1.0]), (40, []), (None, [1.0, 1.0]), (7, [float("inf"), 0.0])]
     got = rows(ann.nearest(spark.createDataFrame([(*d, 1) for d in data], "vec_id long, embedding array<double>, v int")))
     by = {q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20)}
-    assert by == {0: [(5, 3.0), (6, 3.0), (20, 0.0)], 20: [(5, 2.0), (6, 2.0), (0, 0.0)]}
+    # Rows that repeat an id are candidates each for itself.
+    assert by == {0: [(5, 3.0), (6, 3.0), (6, 3.0), (20, 0.0)], 20: [(5, 2.0), (6, 2.0), (6, 2.0), (0, 0.0)]}
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_within_each_dimension(spark):
+    data = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (20, [1.0, 0.0, 1.0]), (2, [0.0, 1.0, 5.0]), (3, [1.0, 1.0, 0.0]), (40, [7.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"))))
+    assert got == [(0, 1, 1, 2.0), (20, 1, 2, 5.0), (20, 2, 3, 1.0)]
+
+
+def test_collisions_are_counted():
+    """The binary counters give the plain count of sets, and candidates are those of plain windows."""
+    rng = np.random.default_rng(1)
+    for m in (1, 2, 3, 7, 64, 100):
+        sets = rng.integers(0, 1 << 63, (m, 3, 2)).astype(np.uint64)
+        bits = np.unpackbits(sets.view(np.uint8), axis=2, bitorder="little")
+        for least in (1, 2, m // 2 + 1, m, m + 1):
+            counter = ann.Counter()
+            for x in sets:
+                counter.add(x)
+            got = np.unpackbits(counter.at_least(least).view(np.uint8), axis=1, bitorder="little")
+            assert (got.astype(bool) == (bits.sum(axis=0) >= least)).all()
+
+
+def test_nearest_verifies_little_at_every_size():
+    rng = np.random.default_rng(2)
+    for n, most in ((1_000, 0.25), (4_000, 0.09), (12_000, 0.05)):
+        x = rng.standard_normal((n, 64))
+        x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+        at = np.arange(0, n, n // 50)
+        verified: list[int] = []
+        r, c, s = ann.search_block(x, x[at], at, 20, 1.0, verified)
+        exact = x[at] @ x.T
+        exact[np.arange(len(at)), at] = -9
+        best = np.argsort(-exact, axis=1)[:, :20]
+        recall = np.mean([len(set(c[r == i]) & set(best[i])) / 20 for i in range(len(at))])
+        assert recall >= 0.9 and np.mean(verified) <= most * n
+
+
 # Toxicity
 
 
