@@ -25,28 +25,64 @@ from .common import map_batches
 PROFILE = 400
 #: More distinct language values than this are an error: the profiles would no longer be small.
 MAX_LANGUAGES = 1_000
-#: A text whose nearest profile has none of its n-grams near their place scores below this.
-REJECT_SCORE = 0.05
+#: Texts that score below this are far from every profile: random letters, hex dumps, base64 and languages that were
+#: not learned score 0.09 to 0.24 here, real English against profiles of invented English 0.39, and of 6,000 documents
+#: none less than 0.39.
+REJECT_SCORE = 0.3
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are counted at a time, so that a very long text takes no more memory than some times this.
+CHUNK = 4_000_000
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def grams(text: str) -> np.ndarray:
-    """The n-grams of one text, repeats included: length << 24 | bytes."""
-    data = f" {_NOT_LETTERS.sub(' ', text).strip().lower()} ".encode()
-    b = np.frombuffer(data, np.uint8).astype(np.int32)
-    pairs = b[:-1] << 8 | b[1:]
-    triples = pairs[:-1] << 8 | b[2:]
-    return np.concatenate([b | 1 << 24, pairs | 2 << 24, triples | 3 << 24])
-
-
-def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and their counts; the lone space and n-grams of spaces only say nothing and go."""
+def letters(text: str) -> np.ndarray:
+    """The bytes that n-grams are taken from: lower-cased letters, single spaces for all else and at both ends."""
+    return np.frombuffer(f" {_NOT_LETTERS.sub(' ', text).strip().lower()} ".encode(), np.uint8)
+
+
+class Counts:
+    """Counts of n-grams (length << 24 | bytes), CHUNK bytes of text in the making at a time."""
+
+    def __init__(self):
+        self.ids, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: str) -> Counts:
+        data = letters(text)
+        for lo in range(0, len(data), CHUNK):
+            # Every n-gram counts in the chunk that it begins in.
+            b = data[lo : lo + CHUNK + 2].astype(np.int32)
+            pairs = b[:-1] << 8 | b[1:]
+            triples = pairs[:-1] << 8 | b[2:]
+            self.held += [b[:CHUNK] | 1 << 24, pairs[:CHUNK] | 2 << 24, triples[:CHUNK] | 3 << 24]
+            self.size += min(CHUNK, len(b))
+            if self.size >= CHUNK:
+                self._settle()
+        return self
+
+    def _settle(self) -> None:
+        ids, n = _distinct(np.concatenate(self.held))
+        self.held, self.size = [], 0
+        if not len(self.ids):
+            self.ids, self.n = ids, n
+            return
+        self.ids, at = np.unique(np.concatenate([self.ids, ids]), return_inverse=True)
+        self.n = np.bincount(at, weights=np.concatenate([self.n, n])).astype(np.int64)
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams and their counts, without the lone space, which says nothing."""
+        if self.held:
+            self._settle()
+        keep = self.ids != (1 << 24 | 32)
+        return self.ids[keep], self.n[keep]
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.sort(ids)
     edge = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]
-    keep = ids[edge] != (1 << 24 | 32)
-    return ids[edge][keep], np.diff(np.append(edge, len(ids)))[keep]
+    return ids[edge], np.diff(np.append(edge, len(ids)))
 
 
 def ranked(ids: np.ndarray, n: np.ndarray, size: int = PROFILE) -> np.ndarray:
@@ -64,13 +100,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            by: dict[str, list[np.ndarray]] = {}
+            by: dict[str, Counts] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if has_letter(text):
-                    by.setdefault(lang, []).append(grams(text))
+                    by.setdefault(lang, Counts()).add(text)
             langs, ids, n = [], [], []
-            for lang, parts in by.items():
-                i, c = counted(np.concatenate(parts))
+            for lang, counts in by.items():
+                i, c = counts.result()
                 langs += [lang] * len(i)
                 ids.append(i)
                 n.append(c)
@@ -104,7 +140,7 @@ class Predictor:
         """The language and 1 - distance / largest distance; (und, 0) for texts without letters."""
         if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
-        own = ranked(*counted(grams(text)), self.size)
+        own = ranked(*Counts().add(text).result(), self.size)
         if not len(own):
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)

@@ -1,8 +1,11 @@
 """MPEG audio columns.
 
 ``probe`` reads any MPEG-1/2/2.5 audio file from a binary column: it parses ID3v2, ID3v1 and APE tags and the
-variable-bitrate tables (Xing, Info, VBRI), resynchronises on frame headers past whatever is damaged, verifies
-the frames' CRC-16, and gives the exact duration (samples over sample rate) and the frames' byte offsets.
+variable-bitrate tables (Xing, Info, VBRI) and compares them with the frames that are there, resynchronises on frame
+headers past whatever is damaged, verifies the CRC-16 of Layers I and III, and gives the exact duration (samples over
+sample rate) and the frames' byte offsets. What it can't do it counts: protected Layer II frames, whose CRC covers a
+part that depends on their allocation tables, are ``crc_unchecked``, and headers of free format, whose frames have no
+stated length, are ``free_format``.
 
 ``carrier`` stores bytes losslessly as such a file: Layer III frames whose main data are the bytes, their number
 in each frame given by the side information, CRC-protected, variable in bitrate, behind an ID3v2 tag and a Xing
@@ -81,6 +84,23 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def protected(data: bytes, at: int, word: int, layer: int) -> bytes | None:
+    """The bytes after a frame's header and CRC that its CRC covers too; None if that isn't known here."""
+    if layer == 3:
+        n = side_size(word)
+    elif layer == 1:  # the allocation: four bits for each subband and channel, shared above the bound in joint stereo
+        mode = word >> 6 & 3
+        n = {0: 32, 2: 32, 3: 16}.get(mode) or (32 + 4 * (1 + (word >> 4 & 3))) // 2
+    else:
+        return None
+    return data[at + 6 : at + 6 + n]
+
+
+def is_free_format(word: int) -> bool:
+    """A valid header but for its bitrate, which is not stated."""
+    return word >> 12 & 15 == 0 and word >> 21 == 0x7FF and header(word | 1 << 12) is not None
+
+
 def synchsafe(data: bytes) -> int:
     n = 0
     for b in data:
@@ -151,6 +171,18 @@ def _vbr_table(data: bytes, at: int, word: int, length: int) -> dict | None:
     return None
 
 
+def _table_right(table: dict, offsets: list[int], first: int, end: int) -> bool:
+    """Whether a table has as many frames as were found, and a Xing table's seek points lie near their frames."""
+    if table["frames"] is not None and table["frames"] != len(offsets):
+        return False
+    if table["kind"] == "VBRI" or not table["toc"] or not offsets:
+        return True
+    size = table["bytes"] or end - first
+    longest = max([b - a for a, b in zip(offsets, offsets[1:], strict=False)] + [end - offsets[-1]])
+    # A point is a 256th of the size, rounded down; writers count its frame from either neighbour.
+    return all(abs(offsets[min(len(offsets) - 1, len(offsets) * i // len(table["toc"]))] - first - t * size / 256) <= size / 256 + longest for i, t in enumerate(table["toc"]))
+
+
 def probe(data: bytes | None) -> dict | None:
     """Everything about one file; None for null. Bytes without any frame have frames = 0 and duration 0/1.
 
@@ -161,6 +193,7 @@ def probe(data: bytes | None) -> dict | None:
         return None
     lo, hi, tags = _tags(data)
     at, offsets, words, crcs, bad, skipped, table, samples = lo, [], [], 0, 0, 0, None, 0
+    unchecked = free = table_at = 0
     bits, unpack = set(), struct.Struct(">I").unpack_from
     locked: tuple | None = None
     hz = first = None
@@ -177,6 +210,7 @@ def probe(data: bytes | None) -> dict | None:
                 same = then and (then[0], then[1], then[3]) == (got[0], got[1], got[3])
                 fits = bool(same) or (locked == (got[0], got[1], got[3]) and then is None)
         if not fits:
+            free += got is None and is_free_format(word)
             nxt = data.find(b"\xff", at + 1, hi)
             nxt = hi if nxt < 0 else nxt
             skipped += nxt - at
@@ -185,12 +219,15 @@ def probe(data: bytes | None) -> dict | None:
         if locked is None:
             locked, hz, first = (got[0], got[1], got[3]), got[3], word
             if got[1] == 3 and (table := _vbr_table(data, at, word, got[4])):
+                table_at = at
                 at += got[4]
                 continue
         if got[6]:
             crcs += 1
-            covered = data[at + 2 : at + 4] + (data[at + 6 : at + 6 + side_size(word)] if got[1] == 3 else b"")
-            if got[1] == 3 and crc16(covered) != data[at + 4] << 8 | data[at + 5]:
+            covered = protected(data, at, word, got[1])
+            if covered is None:
+                unchecked += 1
+            elif crc16(data[at + 2 : at + 4] + covered) != data[at + 4] << 8 | data[at + 5]:
                 bad += 1
         offsets.append(at)
         words.append(word)
@@ -202,6 +239,7 @@ def probe(data: bytes | None) -> dict | None:
         "channels": None if first is None else 1 if first >> 6 & 3 == 3 else 2,
         "frames": len(offsets), "samples": samples, "skipped": skipped, "crc_frames": crcs, "crc_bad": bad,
         "variable": len(bits) > 1, "table": table["kind"] if table else None, "table_frames": table["frames"] if table else None,
+        "crc_unchecked": unchecked, "free_format": free, "table_right": None if table is None else _table_right(table, offsets, table_at, hi),
         "toc": table["toc"] if table else [], "audio_start": lo, "audio_end": hi, "tags": tags, "offsets": offsets, "words": words,
     }
 
@@ -302,7 +340,7 @@ def features(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("
             said = (
                 f"mpeg={seen['version']};layer={seen['layer']};hz={seen['sample_rate']};channels={seen['channels']};frames={seen['frames']};"
                 f"samples={seen['samples']};duration={seen['samples']}/{max(1, seen['sample_rate'])};vbr={seen['table']};variable={str(seen['variable']).lower()};"
-                f"crc={seen['crc_frames']}-{seen['crc_bad']};skipped={seen['skipped']};seek={crc32(np.array(seek, '<u8').tobytes()):08x}"
+                f"crc={seen['crc_frames'] - seen['crc_unchecked']}-{seen['crc_bad']};table={str(seen['table_right']).lower()};skipped={seen['skipped']};seek={crc32(np.array(seek, '<u8').tobytes()):08x}"
             )
             return {
                 "payload_bytes": len(held), "payload_sha256": hashlib.sha256(held).hexdigest(), "tail_crc32": crc32(held[-16:]),

@@ -42,6 +42,8 @@ RADIUS = 3
 BUCKET_BITS, SPLIT_BITS = 16, 12
 #: Rows above which a bucket is split, and rows that a task expands at a time.
 CROWDED, AT_ONCE = 4_096, 2_048
+#: Fingerprints that more than one row in so many has are hot.
+HOT_KEYS = 1_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -271,6 +273,18 @@ def components(links: DataFrame) -> DataFrame:
         seen = tuple(state)
 
 
+def _spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key and in ``n`` how many rows have it.
+
+    Keys of more than one row in HOT_KEYS are fewer than HOT_KEYS: they are broadcast, so their rows stay where they
+    are. The others are joined by a shuffle in which no key is large.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_KEYS > total
+    hot, cold = F.broadcast(table.filter(is_hot).drop("n")), table.filter(~is_hot).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(table.filter(is_hot).select(key)), key, "left_anti").join(cold, key))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """One row for each document: doc_id, fp (long), fingerprint (16 hex digits), component_id.
 
@@ -280,7 +294,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives an empty result. Columns other than the two named are ignored.
     """
     marked = written(fingerprints(docs, id_col, text_col, width))
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     comp = components(near_links(distinct.select("fp")))
     # Only linked fingerprints have a row in comp.
     linked = distinct.join(comp, distinct["fp"] == comp["node"]).select("root", "node", "first_id")
@@ -288,8 +302,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = written(linked.unionByName(roots))
     named = members.groupBy("root").agg(F.min("first_id").alias("named"))
     named = members.join(named, "root").select(F.col("node").alias("fp"), "named")
-    by_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("named", "first_id").alias("component_id"))
-    return marked.join(by_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = written(distinct.join(named, "fp", "left").select("fp", F.coalesce("named", "first_id").alias("component_id"), "n"))
+    return _spread_join(marked, by_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def text_sha(text_col: str) -> Column:
@@ -298,11 +312,13 @@ def text_sha(text_col: str) -> Column:
 
 
 def kept_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id and text hash are in ``keep`` (__id, __sha), with the columns of both; of equal ones one."""
-    own = docs.withColumn("__own", text_sha(text_col))
-    kept = own.join(keep, own[id_col].cast("long").eqNullSafe(keep["__id"]) & (own["__own"] == keep["__sha"]), "inner")
+    """The rows of ``docs`` whose id and text hash are in ``keep`` (__id, __sha): __row, a structure of all their columns,
+    and the columns of ``keep``. Of equal rows one."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    own = docs.select(row, F.col(id_col).cast("long").alias("__own_id"), text_sha(text_col).alias("__own"))
+    kept = own.join(keep, own["__own_id"].eqNullSafe(keep["__id"]) & (own["__own"] == keep["__sha"]), "inner")
     w = Window.partitionBy("__id", "__sha").orderBy(F.lit(1))
-    return kept.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__own")
+    return kept.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__own", "__own_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -327,4 +343,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comp = components(near_links(distinct.select("fp")))
     rooted = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
     keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.sha").alias("__sha"))
-    return kept_rows(docs, keep, id_col, text_col).drop("__id", "__sha")
+    return kept_rows(docs, keep, id_col, text_col).select("__row.*")

@@ -4,8 +4,8 @@ The pieces of each distinct pre-token are counted once. Documents are reduced to
 document's count is the sum of frequency times pieces over the join of the two; ids are never made for a text.
 
 Two passes read the texts. The first finds the distinct pre-tokens and how often each occurs. The HEAD most
-frequent ones (a fixed number, whatever the input) are broadcast, so most of the second pass's frequencies are
-joined where they arise; the rest, rare by construction and so free of hot keys, is joined by a shuffle.
+frequent ones (a fixed number, whatever the input) are broadcast, so most of the second pass's frequencies, counted
+for each document, are joined where they arise; the rest, rare by construction and so free of hot keys, is joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -99,12 +99,12 @@ def _second_pass(head):
             keys, tokens, ns, ids, sizes = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total, rare = 0, {}
-                for token in pretokens(text) if text else ():
+                for token, times in Counter(pretokens(text)).items() if text else ():
                     n = known.get(token)
                     if n is None:
-                        rare[token] = rare.get(token, 0) + 1
+                        rare[token] = times
                     else:
-                        total += n
+                        total += times * n
                 # The document's own row: a token that no text has keeps it out of the join.
                 keys.append(key)
                 tokens.append(f"\n{key}")

@@ -228,6 +228,56 @@ def test_probe_resynchronises():
     assert media_mpeg.probe(b"")["frames"] == 0 and media_mpeg.probe(b"no audio here")["frames"] == 0 and media_mpeg.probe(None) is None
 
 
+def test_layers_tables_and_free_format():
+    # Layer I, 32 kbit/s, 32 kHz, protected: stereo, joint stereo with bound 8, and mono cover 32, 20 and 16 bytes.
+    for mode, covered in ((0x00, 32), (0x50, 20), (0xC0, 16)):
+        word = 0xFFFE1800 | mode
+        size = media_mpeg.header(word)[4]
+        body = bytes(range(1, 41))[:covered]
+        head = word.to_bytes(4, "big")
+        frame = (head + media_mpeg.crc16(head[2:] + body).to_bytes(2, "big") + body).ljust(size, b"\0")
+        seen = media_mpeg.probe(frame * 5)
+        assert (seen["layer"], seen["frames"], seen["crc_frames"], seen["crc_bad"], seen["crc_unchecked"]) == (1, 5, 5, 0, 0)
+        torn = bytearray(frame * 5)
+        torn[size + 6 + covered - 1] ^= 4
+        assert media_mpeg.probe(bytes(torn))["crc_bad"] == 1
+    # Layer II is counted as unchecked.
+    word = 0xFFFC1800
+    frame = word.to_bytes(4, "big").ljust(media_mpeg.header(word)[4], b"\0")
+    seen = media_mpeg.probe(frame * 3)
+    assert (seen["layer"], seen["crc_frames"], seen["crc_bad"], seen["crc_unchecked"]) == (2, 3, 0, 3)
+    assert media_mpeg.probe((0xFFFB0064).to_bytes(4, "big") * 40)["free_format"] > 0
+    whole = media_mpeg.carrier(bytes(range(32, 127)) * 600)
+    assert media_mpeg.probe(whole)["table_right"] is True
+    seen = media_mpeg.probe(whole)
+    assert media_mpeg.probe(whole[: seen["offsets"][-1]])["table_right"] is False
+
+
+def test_features_are_computed_anew(docs):
+    """The stored form's digest and the feature from a plain walk over the frames."""
+    import hashlib
+
+    media = media_mpeg.store(docs).collect()
+    got = Counter((r["doc_id"], r["media_sha256"], r["feature"]) for r in rows(media_mpeg.features(media_mpeg.store(docs))))
+    want = Counter()
+    for r in media:
+        data = bytes(r["media"])
+        at = 10 + media_mpeg.synchsafe(data[6:10])
+        sizes, offsets, first = [], [], True
+        while at < len(data):
+            word = int.from_bytes(data[at : at + 4], "big")
+            size = 144 * media_mpeg.BITRATES[True, 3][word >> 12 & 15] // 48
+            if not first:
+                offsets.append(at)
+                sizes.append(size)
+            first = False
+            at += size
+        n = len(offsets)
+        said = f"mpeg=1;layer=3;hz=48000;channels=1;frames={n};samples={1152 * n};duration={1152 * n}/48000;vbr=Xing;variable={str(len(set(sizes)) > 1).lower()};crc={n}-0;table=true;skipped=0;seek={zlib.crc32(np.array(offsets, '<u8').tobytes()):08x}"
+        want[r["doc_id"], hashlib.sha256(data).hexdigest(), said] += 1
+    assert got == want
+
+
 def test_frame_lengths():
     assert media_mpeg.header(0xFFFB9064)[2:6] == (128, 44100, 417, 1152)
     assert media_mpeg.header(0xFFFB9264)[4] == 418
