@@ -52,9 +52,13 @@ def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list
 
     The added names must be free in ``df``: ``free_name`` gives such names.
     """
-    out = StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    names = [*df.columns, *StructType.fromDDL(added).names]
+    # Numbered names, since a map's columns are looked up by name and names may hold anything.
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = StructType([*plain.schema.fields, *StructType.fromDDL(added).fields])
+
     arrow = to_arrow_schema(StructType.fromDDL(added))
     at = df.columns.index(column)
 
@@ -65,7 +69,7 @@ def append_columns(df: DataFrame, column: str, make: Callable[[], Callable[[list
             arrays = [pa.array(new[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *arrow.names])
 
-    return df.mapInArrow(run, out)
+    return plain.mapInArrow(run, out).toDF(*names)
 
 
 def free_name(df: DataFrame, name: str) -> str:
