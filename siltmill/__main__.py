@@ -26,9 +26,10 @@ def _parser() -> argparse.ArgumentParser:
     command("compact", uri, ("--merge-factor", {"type": int, "default": 10}), ("--collect", flag), ("--delete", flag), ("--grace", {"type": float, "default": 3600.0}), about="merge small segments and find orphans")
     command("produce", src, ("--servers", {"required": True}), ("--topic", {"required": True}), about="send a clickstream file to a log")
     command("index", uri, ("--servers", {"required": True}), ("--topic", {"required": True}), ("--checkpoint", {"required": True}), ("--max-docs", {"type": int, "default": 10_000}), about="index a log")
-    command("predict", ("--servers", {"required": True}), ("--topic", {"required": True}), ("--model", {"required": True}), ("--out", {"required": True}), ("--checkpoint", {"required": True}), about="score a log's sessions")
-    command("train", src, ("--out", {"required": True}), ("--fraction", {"type": float, "default": 0.7}), ("--iterations", {"type": int, "default": 50}), about="train and export a model")
-    command("serve", uri, ("--model", text), ("--port", {"type": int, "default": 8080}), ("--secret", text), about="answer over HTTP")
+    command("predict", ("--servers", {"required": True}), ("--topic", {"required": True}), ("--model", {"required": True}), ("--out", text), ("--out-topic", text), ("--checkpoint", {"required": True}), about="score a log's sessions into files or a topic")
+    command("train", src, ("--out", {"required": True}), ("--fraction", {"type": float, "default": 0.7}), ("--iterations", {"type": int, "default": 200}), about="train and export a model")
+    command("serve", uri, ("--model", text), ("--port", {"type": int, "default": 8080}), ("--secret", text), ("--feed-after", number), about="answer over HTTP; --feed-after: take the store's feed from so many events on")
+    command("feed", src, uri, ("--limit", number), about="write a clickstream file as a feed into a store")
     command("check", uri, about="time each kind of access to a store")
     return p
 
@@ -79,7 +80,8 @@ def main(argv: list[str] | None = None) -> None:
 
         with open(a.model) as f:
             ensemble = Ensemble.from_json(f.read())
-        predictor.run(indexer.parse(indexer.kafka_source(spark, a.servers, a.topic)), ensemble, a.out, a.checkpoint, False).awaitTermination()
+        sinks = [predictor.json_sink(a.out)] * bool(a.out) + [predictor.topic_sink(a.servers, a.out_topic)] * bool(a.out_topic)
+        predictor.run(indexer.parse(indexer.kafka_source(spark, a.servers, a.topic)), ensemble, sinks or [predictor.callback_sink(print)], a.checkpoint, False).awaitTermination()
     elif a.command == "train":
         from pyspark.sql import functions as F
 
@@ -98,9 +100,15 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "serve":
         from .operators.model import Ensemble
         from .service import Engine, serve
+        from .sources.feed import Feed
 
         ensemble = Ensemble.from_json(open(a.model).read()) if a.model else None
-        serve(Engine(spark, store, ensemble), port=a.port, secret=a.secret).serve_forever()
+        feed = None if a.feed_after is None else Feed(store, start_after=a.feed_after)
+        serve(Engine(spark, store, ensemble, feed=feed), port=a.port, secret=a.secret).serve_forever()
+    elif a.command == "feed":
+        from .sources.feed import write_feed
+
+        print(write_feed(cs.load_events(spark, a.source, a.limit), store), "chunks")
     elif a.command == "check":
         from .sources.store import self_check
 

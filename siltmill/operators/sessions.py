@@ -6,6 +6,8 @@ one shuffle by session; those of a cart cycle or a product only sort within it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +38,16 @@ def _present(c: str) -> Column:
     return F.col(c).isNotNull() & (F.col(c) != "")
 
 
-def session_state(events: DataFrame, seq: str = "event_id", session: str = "session_id") -> DataFrame:
+def session_state(events: DataFrame, seq: str = "event_id", session: str | Sequence[str] = "session_id", order: Sequence[str] = ()) -> DataFrame:
     """Every event with the state of its session after it: STATE, ``cycle``, ``gap``, ``event_index``.
 
-    Events are ordered by time and then ``seq``, which must settle ties. The columns ``user_id`` and ``device``
-    become the session's first ones.
+    Events are ordered by time and then ``seq``, which must settle ties, or as ``order`` says; then late events may
+    come after newer ones, and their gaps count as zero. The columns ``user_id`` and ``device`` become the session's
+    first ones. ``session`` names the columns that set sessions apart.
     """
-    by = Window.partitionBy(session).orderBy("ts", seq)
+    key = [session] if isinstance(session, str) else list(session)
+    order = list(order) or ["ts", seq]
+    by = Window.partitionBy(*key).orderBy(*order)
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     kind = F.col("event_type")
     n = lambda condition: F.coalesce(F.sum(F.when(condition, 1).otherwise(0)).over(so_far), F.lit(0))
@@ -62,14 +67,14 @@ def session_state(events: DataFrame, seq: str = "event_id", session: str = "sess
     out = out.withColumns({"gap_sum": F.coalesce(F.sum("gap").over(so_far), F.lit(0)), "gap_count": F.count("gap").over(so_far), "gap_max": F.coalesce(F.max("gap").over(so_far), F.lit(0)), "cycle": F.col("purchases")})
     # Distinct values so far: the first time that a value occurs counts one.
     for count, column in (("products", "product_id"), ("categories", "category"), ("brands", "brand")):
-        first = (F.row_number().over(Window.partitionBy(session, column).orderBy("ts", seq)) == 1) & _present(column)
+        first = (F.row_number().over(Window.partitionBy(*key, column).orderBy(*order)) == 1) & _present(column)
         out = out.withColumn("__first", first).withColumn(count, F.sum(F.col("__first").cast("int")).over(so_far))
     # The cart: the last price of each product in the cycle, as changes from what the product had before.
     product = _present("product_id")
     change = F.when(product & (kind == CART) & F.col("price").isNotNull(), F.col("price")).when(product & (kind == REMOVE), 0.0)
     inside = F.when(product & (kind == CART) & F.col("price").isNotNull(), 1).when(product & (kind == REMOVE), 0)
-    before = Window.partitionBy(session, "cycle", "product_id").orderBy("ts", seq).rowsBetween(Window.unboundedPreceding, -1)
-    cycle = Window.partitionBy(session, "cycle").orderBy("ts", seq).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*key, "cycle", "product_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cycle = Window.partitionBy(*key, "cycle").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({"__v": change, "__i": inside})
     out = out.withColumns({"__dv": F.col("__v") - F.coalesce(F.last("__v", True).over(before), F.lit(0.0)), "__di": F.col("__i") - F.coalesce(F.last("__i", True).over(before), F.lit(0))})
     out = out.withColumns(
@@ -121,6 +126,21 @@ def scoring_gate() -> Column:
     return F.when(F.col("open_adds") <= 0, "no open cart").when(F.col("events") < MIN_EVENTS, "fewer than two events")
 
 
+def with_runs(events: DataFrame, timeout: int = TIMEOUT, session: str = "session_id", order: Sequence[str] = ("offset",), name: str = "run") -> DataFrame:
+    """``events`` with the number (from 0) of their session's run: a pause of more than ``timeout`` starts the next one."""
+    by = Window.partitionBy(session).orderBy(*order)
+    pause = F.col("ts") - F.lag("ts").over(by) > timeout
+    return events.withColumn(name, F.sum(F.when(pause, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def running_watermarks(events: DataFrame, partition: str = "partition", order: Sequence[str] = ("offset",)) -> DataFrame:
+    """``events`` with ``watermark``, the newest time that their own partition had shown by then.
+
+    A log partition is one writer's order, so it is also one task here.
+    """
+    return events.withColumn("watermark", F.max("ts").over(Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def watermarks(events: DataFrame, partition: str = "partition") -> DataFrame:
     """(partition, watermark): the newest event of each partition, never of all."""
     return events.groupBy(partition).agg(F.max("ts").alias("watermark"))

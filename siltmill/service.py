@@ -1,4 +1,4 @@
-"""The HTTP surface over a coordinator: search, ingest, predict, and a paced stream, on the standard library's server."""
+"""The HTTP surface over a coordinator: search, ingest, predict, and a paced feed, on the standard library's server."""
 
 from __future__ import annotations
 
@@ -13,20 +13,23 @@ from pyspark.sql import SparkSession
 
 from .operators.model import Ensemble
 from .operators.search import Options, cost, fetch, guard, search, total_hits
-from .operators.sessions import AT_RISK, MIN_EVENTS
+from .operators.sessions import AT_RISK, scoring_gate, session_state
 from .plans.lifecycle import Coordinator, live_ingest
-from .schema import EVENT_FIELDS, PURCHASE
+from .schema import EVENT_FIELDS, EVENT_TYPES
+from .sources.feed import Feed
 from .sources.store import Store
-from .streaming import predictor
+from .streaming.predictor import LOGGED, predictions
 
+# Limits of a request.
+MAX_EVENTS, MAX_SECONDS, MAX_RATE = 200, 120.0, 200
 FIELDS = ("event_id", "title", "category", "brand", "price", "event_type")
 
 
 class Engine:
     """What the handlers do; every answer is a dictionary. Bad input raises ValueError."""
 
-    def __init__(self, spark: SparkSession, store: Store, ensemble: Ensemble | None = None, partitioned: bool = True, fields: tuple[str, ...] = FIELDS):
-        self.spark, self.store, self.ensemble, self.fields = spark, store, ensemble, fields
+    def __init__(self, spark: SparkSession, store: Store, ensemble: Ensemble | None = None, partitioned: bool = True, fields: tuple[str, ...] = FIELDS, feed: Feed | None = None):
+        self.spark, self.store, self.ensemble, self.fields, self.feed = spark, store, ensemble, fields, feed
         self.coordinator = Coordinator(store, partitioned)
         self._lock = threading.Lock()
 
@@ -64,37 +67,55 @@ class Engine:
         return {"accepted": len(events), "searchable": bool(sealed), "segments": [s.key for s in sealed], "took_ms": round((time.perf_counter() - began) * 1000, 1)}
 
     def predict(self, events: list[dict], threshold: float = AT_RISK) -> dict:
-        """The probability after each event of one session, from the same fold and features as the stream's."""
+        """What is known after each event of one session, in the order given, by the windows and the scores of the stream."""
         if self.ensemble is None:
             raise ValueError("no model is loaded")
-        from .operators.sessions import FEATURES, feature_rows
-
-        state, rows, why = predictor.fresh(), [], []
-        for i, e in enumerate(events):
-            predictor.fold(state, {f: e.get(f) for f in EVENT_FIELDS} | {"ts": int(e["ts"])})
-            c = predictor.columns(state)
-            why.append("no open cart" if c["open_adds"] <= 0 else "fewer than two events" if c["events"] < MIN_EVENTS else None)
-            rows.append({"session_id": "", "event_id": str(i), "event_type": e["event_type"], "partition": 0} | c)
-        trajectory = [{"event_index": i, "ts": int(e["ts"]), "probability": None, "reason": w} for i, (e, w) in enumerate(zip(events, why, strict=True))]
-        scored = [i for i, e in enumerate(events) if why[i] is None and e["event_type"] != PURCHASE]
-        if scored:
-            table = feature_rows(self.spark.createDataFrame([tuple(rows[i].values()) for i in scored], predictor.OUTPUT), ("event_id",)).toPandas()
-            raw = self.ensemble.raw(table[list(FEATURES)].to_numpy(float))
-            for i, x in zip(table["event_id"], raw, strict=True):
-                trajectory[int(i)]["probability"] = round(float(1 / (1 + 2.718281828459045 ** -x)), 4)
-        final = trajectory[-1]["probability"] if trajectory else None
-        return {"trajectory": trajectory, "final": final, "at_risk": final is not None and final >= threshold, "reason": trajectory[-1]["reason"] if trajectory else "no events"}
-
-    def stream(self, seconds: float, rate: float):
-        """Live documents one by one at a pace, as server-sent events."""
-        index = self.coordinator.index()
-        if index is None:
-            return
-        wanted = max(1, min(1000, int(seconds * rate)))
-        fields = [f for f in self.fields if f in index.docs.columns]
-        for row in index.docs.select(*fields).limit(wanted).toLocalIterator():
-            yield f"data: {json.dumps(row.asDict())}\n\n"
-            time.sleep(1 / rate)
+        if len(events) > MAX_EVENTS:
+            raise ValueError(f"at most {MAX_EVENTS} events at a time")
+        if not 0 <= threshold <= 1:
+            raise ValueError("the threshold must be between 0 and 1")
+        for e in events:
+            if e["event_type"] not in EVENT_TYPES:
+                raise ValueError(f"unknown event_type {e['event_type']!r}")
+        given = lambda e, i: {"event_id": str(i), "session_id": "", "user_id": e.get("user_id") or "", "ts": int(e["ts"]), "price": None if e.get("price") is None else float(e["price"])}
+        rows = [tuple(({f: e.get(f) for f in EVENT_FIELDS} | given(e, i)).values()) + (0, i) for i, e in enumerate(events)]
+        state = session_state(self.spark.createDataFrame(rows, LOGGED).coalesce(1), order=("offset",))
+        said = state.withColumn("why", scoring_gate()).orderBy("offset").select("offset", "ts", "event_type", "events", "cart_size", "cart_value", "why").collect()
+        scored = {int(r["event_id"]): r["probability"] for r in predictions(state, self.ensemble, threshold).collect()}
+        scores = [
+            {"index": r["offset"], "ts": r["ts"], "event_type": r["event_type"], "events": r["events"], "cart_size": r["cart_size"], "cart_value": round(r["cart_value"], 2),
+             "probability": scored.get(r["offset"]), "scored": r["offset"] in scored, "reason": None if r["offset"] in scored else r["why"]}
+            for r in said
+        ]
+        # The last score counts, whatever came after it.
+        final = next((x["probability"] for x in reversed(scores) if x["scored"]), None)
+        return {"threshold": threshold, "scores": scores, "final": final, "at_risk": final is not None and final >= threshold}
+
+    def stream(self, seconds: float, rate: int):
+        """Takes events from the feed and indexes them at a pace: server-sent events of how far it came."""
+        if self.feed is None:
+            raise ValueError("no feed is configured")
+        if not 0 < seconds <= MAX_SECONDS or not 0 < rate <= MAX_RATE:
+            raise ValueError(f"seconds must be up to {MAX_SECONDS:g} and rate up to {MAX_RATE}")
+        return self._paced(seconds, rate)
+
+    def _paced(self, seconds: float, rate: int):
+        said = lambda kind, **x: f"event: {kind}\ndata: {json.dumps(x)}\n\n"
+        began, sent, due = time.monotonic(), 0, 0.0
+        yield said("start", rate=rate, seconds=seconds, documents=self.coordinator.live.docs)
+        while (elapsed := time.monotonic() - began) < seconds:
+            # What the pace has made due by now goes into one segment.
+            due = min(rate * seconds, max(1.0, rate * elapsed))
+            events = self.feed.take(min(MAX_EVENTS, int(due) - sent))
+            if not events and int(due) > sent:
+                yield said("exhausted", documents=self.coordinator.live.docs)
+                break
+            if events:
+                sealed = self.ingest(events)["segments"]
+                sent += len(events)
+                yield said("progress", sent=sent, sealed=sealed, documents=self.coordinator.live.docs, elapsed=round(time.monotonic() - began, 1))
+            time.sleep(min(0.25, max(0.0, seconds - (time.monotonic() - began))))
+        yield said("done", sent=sent, documents=self.coordinator.live.docs)
 
 
 def handler(engine: Engine, secret: str | None = None):
@@ -126,12 +147,14 @@ def handler(engine: Engine, secret: str | None = None):
                 if route == ("POST", "/api/events"):
                     return self._send(200, engine.ingest(json.loads(body)["events"]))
                 if route == ("POST", "/api/predict"):
-                    return self._send(200, engine.predict(json.loads(body)["events"]))
+                    given = json.loads(body)
+                    return self._send(200, engine.predict(given["events"], float(given.get("threshold", AT_RISK))))
                 if route == ("GET", "/api/stream"):
+                    lines = engine.stream(float(args.get("seconds", 10)), int(args.get("rate", 5)))
                     self.send_response(200)
                     self.send_header("Content-Type", "text/event-stream")
                     self.end_headers()
-                    for line in engine.stream(float(args.get("seconds", 10)), float(args.get("rate", 5))):
+                    for line in lines:
                         self.wfile.write(line.encode())
                         self.wfile.flush()
                     return None

@@ -72,6 +72,14 @@ class Store:
             self._fs.delete(target, False)
             self._fs.rename(beside, target)
 
+    def rename(self, key: str, to: str) -> None:
+        """Moves an object, over the one that has the name."""
+        target = self._at(to)
+        self._fs.mkdirs(target.getParent())
+        self._fs.delete(target, False)
+        if not self._fs.rename(self._at(key), target):
+            raise OSError(f"{key} could not be moved to {to}")
+
     def stat(self, key: str) -> Stat:
         s = self._fs.getFileStatus(self._at(key))
         return Stat(key, s.getLen(), s.getModificationTime() / 1000)

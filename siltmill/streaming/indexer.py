@@ -58,3 +58,20 @@ def run(records: DataFrame, store: Store, checkpoint: str, max_docs: int = MAX_D
 
     writer = records.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+
+
+def drain(query: StreamingQuery, seconds: float = 60.0) -> bool:
+    """Stops a running query once it has caught up, or after so many seconds; whether it had caught up.
+
+    What it had not committed then is taken again by the next run, from the same offsets.
+    """
+    import time
+
+    until = time.monotonic() + seconds
+    idle = 0
+    while query.isActive and time.monotonic() < until and idle < 3:
+        status = query.status
+        idle = 0 if status["isDataAvailable"] or status["isTriggerActive"] or query.lastProgress is None else idle + 1
+        time.sleep(0.1)
+    query.stop()
+    return idle >= 3

@@ -1,98 +1,42 @@
-"""Scoring sessions while they happen: a keyed fold gives the state columns, batch's expressions do the rest.
+"""Scoring sessions while they happen, with the windows that batch uses.
 
-Late events are folded in like any other (their gap counts as zero), so no watermark is used: Spark's would be
-one for all partitions and would expire the sessions of a partition that lags. A session expires when its next
-event comes more than TIMEOUT after its last one, which only its own partition's progress can bring about.
-In a query that runs on, the state of sessions that never come back is dropped after IDLE_MS of processing
-time; one that ends when it has caught up sets no timer, or it would run on to wait for it.
+What a micro-batch needs of the past is the events of the sessions that are still open. They are held in a table;
+each micro-batch joins them with its own events, runs ``session_state`` over both in order of arrival, scores its own
+rows, and writes the events of what is open now as the next table. So there is one definition of a session's state,
+and a session costs a sort of its own events whenever it gets new ones. The table holds each event from when it
+comes until its session expires.
+
+A session expires by its own partition's progress alone: when the newest time seen there is more than the timeout past
+the session's last event, it is swept from the table, and what comes later starts a new run. Late events belong to the
+run they find, with a gap of zero.
+
+Tables and results carry their micro-batch's number and are overwritten by a replay, so files get every prediction
+exactly once; a topic or a callback gets it at least once.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..operators.model import Ensemble, score_column
-from ..operators.sessions import AT_RISK, STATE, TIMEOUT, feature_rows, scoring_gate
-from ..schema import CART, PURCHASE, REMOVE
-
-IDLE_MS = 6 * 3_600_000
-_COUNTERS = {"view": "views", "click": "clicks", "search": "searches", CART: "cart_adds", REMOVE: "cart_removes", PURCHASE: "purchases"}
-_INTS = ("first_ts", "last_ts", "events", "views", "clicks", "searches", "cart_adds", "cart_removes", "purchases", "open_adds", "cart_size", "products", "categories", "brands", "price_count", "gap_sum", "gap_count", "gap_max")
-OUTPUT = "session_id string, event_id string, event_type string, partition int, " + ", ".join(f"{c} {'long' if c in _INTS else 'string' if c in ('user_id', 'device') else 'double'}" for c in STATE)
-
-
-def fresh() -> dict:
-    return {c: 0 for c in STATE} | {"user_id": "", "device": None, "price_sum": 0.0, "price_max": 0.0, "cart": {}, "seen": [[], [], []]}
-
-
-def fold(state: dict, event: dict) -> dict:
-    """Takes one event into a session's state."""
-    ts, kind = int(event["ts"]), event["event_type"]
-    if state["events"] == 0:
-        state.update(first_ts=ts, user_id=event.get("user_id") or "", device=event.get("device"))
-    else:
-        gap = max(0, ts - state["last_ts"])
-        state["gap_sum"] += gap
-        state["gap_count"] += 1
-        state["gap_max"] = max(state["gap_max"], gap)
-    state["last_ts"] = ts
-    state["events"] += 1
-    if kind in _COUNTERS:
-        state[_COUNTERS[kind]] += 1
-    if kind == PURCHASE:
-        state["cart"], state["open_adds"] = {}, 0
-    product, price = event.get("product_id"), event.get("price")
-    if product:
-        if kind == CART:
-            state["open_adds"] += 1
-            if price is not None:
-                state["cart"][product] = price
-        elif kind == REMOVE:
-            state["cart"].pop(product, None)
-    for i, key in enumerate(("product_id", "category", "brand")):
-        if event.get(key) and event[key] not in state["seen"][i]:
-            state["seen"][i].append(event[key])
-    if price is not None:
-        state["price_sum"] += price
-        state["price_count"] += 1
-        state["price_max"] = max(state["price_max"], price)
-    return state
-
-
-def columns(state: dict) -> dict:
-    """The STATE columns of a folded state."""
-    seen = dict(zip(("products", "categories", "brands"), map(len, state["seen"]), strict=True))
-    return {c: state[c] for c in STATE} | seen | {"cart_size": len(state["cart"]), "cart_value": float(sum(state["cart"].values()))}
-
-
-def session_states(events: DataFrame, timeout: int = TIMEOUT, idle_ms: int | None = None) -> DataFrame:
-    """Every event of a stream with its session's state after it. ``events`` has ``partition`` and ``offset``."""
-
-    def update(key, frames: Iterator[pd.DataFrame], group):
-        if group.hasTimedOut:
-            group.remove()
-            return
-        state = json.loads(group.get[0]) if group.exists else fresh()
-        rows = pd.concat(list(frames)).sort_values(["offset"], kind="stable").astype(object)
-        out = []
-        for event in rows.where(rows.notna(), None).to_dict("records"):
-            if state["events"] and int(event["ts"]) - state["last_ts"] > timeout:
-                state = fresh()
-            fold(state, event)
-            out.append({"session_id": key[0], "event_id": event["event_id"], "event_type": event["event_type"], "partition": event["partition"]} | columns(state))
-        group.update((json.dumps(state),))
-        if idle_ms:
-            group.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out)
-
-    return events.groupBy("session_id").applyInPandasWithState(update, OUTPUT, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+from ..operators.sessions import AT_RISK, TIMEOUT, feature_rows, scoring_gate, session_state, watermarks, with_runs
+from ..schema import EVENT_FIELDS, EVENT_SCHEMA, PURCHASE
+from ..sources.store import Store
+
+LOGGED = StructType([*(StructField(f.name, f.dataType) for f in EVENT_SCHEMA), StructField("partition", IntegerType()), StructField("offset", LongType())])
+_MARKS = "partition int, watermark long"
+#: Takes a micro-batch's predictions and its number.
+Sink = Callable[[DataFrame, int], None]
+
+
+def session_states(events: DataFrame, timeout: int = TIMEOUT) -> DataFrame:
+    """Every event with its session run's state after it, by arrival. ``events`` has ``partition`` and ``offset``."""
+    return session_state(with_runs(events, timeout), session=("session_id", "run"), order=("offset",))
 
 
 def predictions(states: DataFrame, ensemble: Ensemble, threshold: float = AT_RISK) -> DataFrame:
@@ -107,7 +51,77 @@ def predictions(states: DataFrame, ensemble: Ensemble, threshold: float = AT_RIS
     )
 
 
-def run(events: DataFrame, ensemble: Ensemble, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Starts the predictor with a JSON lines sink."""
-    writer = predictions(session_states(events, idle_ms=None if available_now else IDLE_MS), ensemble).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def sweep(events: DataFrame, marks: DataFrame, timeout: int = TIMEOUT) -> DataFrame:
+    """The events of each session's last run, if its partition has not shown a time more than ``timeout`` past its end.
+
+    ``marks`` has a row for each log partition.
+    """
+    runs = with_runs(events, timeout)
+    last = runs.groupBy("session_id").agg(F.max("run").alias("run"), F.max_by("ts", "offset").alias("__end"))
+    kept = runs.join(last, ["session_id", "run"]).join(F.broadcast(marks), "partition")
+    return kept.filter(F.col("watermark") - F.col("__end") <= timeout).select(*events.columns)
+
+
+def json_sink(path: str) -> Sink:
+    """JSON lines, a folder for each micro-batch."""
+    return lambda scored, number: scored.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/batch={number}")
+
+
+def topic_sink(servers: str, topic: str) -> Sink:
+    """Records of a topic, keyed by session."""
+    from .indexer import SINK, to_records
+
+    return lambda scored, _: to_records(scored).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).options(**SINK).save()
+
+
+def callback_sink(each: Callable[[dict], None]) -> Sink:
+    """Calls a function on the driver for each prediction, a partition's rows at a time."""
+
+    def run(scored: DataFrame, _: int) -> None:
+        for row in scored.toLocalIterator():
+            each(row.asDict())
+
+    return run
+
+
+class Held:
+    """The open sessions' events and the partitions' newest times, by micro-batch."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.store = spark, Store(spark, path)
+
+    def read(self, number: int) -> tuple[DataFrame, DataFrame]:
+        """What the micro-batch before this one left."""
+        if not self.store.exists(f"events/{number - 1}/_SUCCESS"):
+            return self.spark.createDataFrame([], LOGGED), self.spark.createDataFrame([], _MARKS)
+        return self.spark.read.schema(LOGGED).parquet(self.store.url(f"events/{number - 1}")), self.spark.read.schema(_MARKS).parquet(self.store.url(f"marks/{number - 1}"))
+
+    def write(self, number: int, events: DataFrame, marks: DataFrame) -> None:
+        marks.write.mode("overwrite").parquet(self.store.url(f"marks/{number}"))
+        events.write.mode("overwrite").parquet(self.store.url(f"events/{number}"))
+        for table in ("events", "marks"):
+            self.store.delete(f"{table}/{number - 2}")
+
+
+def advance(held: Held, number: int, batch: DataFrame, ensemble: Ensemble, sinks: Sequence[Sink], timeout: int = TIMEOUT, threshold: float = AT_RISK) -> None:
+    """Takes one micro-batch: scores its events for the sinks, then leaves the open sessions for the next one."""
+    past, old = held.read(number)
+    fresh = batch.select(*[F.col(c) for c in (*EVENT_FIELDS, "partition", "offset")])
+    both = past.withColumn("__new", F.lit(False)).unionByName(fresh.withColumn("__new", F.lit(True))).persist()
+    scored = predictions(session_states(both, timeout).filter("__new"), ensemble, threshold).persist()
+    try:
+        for sink in sinks:
+            sink(scored, number)
+        marks = watermarks(old.withColumnRenamed("watermark", "ts").unionByName(both.select("partition", "ts")))
+        held.write(number, sweep(both.drop("__new"), marks, timeout), marks)
+    finally:
+        scored.unpersist()
+        both.unpersist()
+
+
+def run(events: DataFrame, ensemble: Ensemble, sinks: str | Sequence[Sink], checkpoint: str, available_now: bool = True, timeout: int = TIMEOUT, threshold: float = AT_RISK, every: str = "10 seconds") -> StreamingQuery:
+    """Starts the predictor on a stream of events; a path stands for a sink of JSON lines."""
+    sinks = [json_sink(sinks)] if isinstance(sinks, str) else list(sinks)
+    held = Held(events.sparkSession, f"{checkpoint.rstrip('/')}-sessions")
+    writer = events.writeStream.foreachBatch(lambda batch, number: advance(held, number, batch, ensemble, sinks, timeout, threshold)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

@@ -54,3 +54,35 @@ def random_events(n=300, sessions=12, seed=1):
             }
         )
     return out
+
+
+def states(events):
+    """The state after each event, anew from all events of its session up to it; ``events`` are in order."""
+    out, before = {}, {}
+    for e in events:
+        seen = before.setdefault(e["session_id"], [])
+        seen.append(e)
+        out[e["event_id"]] = state_after(seen)
+    return out
+
+
+def state_after(seen):
+    kinds = [e["event_type"] for e in seen]
+    bought = [i for i, k in enumerate(kinds) if k == "purchase"]
+    open_ = [e for e in seen[bought[-1] if bought else 0 :] if e["product_id"]]
+    cart = {}
+    for e in open_:
+        if e["event_type"] == "remove_from_cart":
+            cart.pop(e["product_id"], None)
+        elif e["event_type"] == "add_to_cart" and e["price"] is not None:
+            cart[e["product_id"]] = e["price"]
+    prices = [e["price"] for e in seen if e["price"] is not None]
+    gaps = [max(0, b["ts"] - a["ts"]) for a, b in zip(seen, seen[1:], strict=False)]
+    distinct = lambda f: len({e[f] for e in seen if e[f]})
+    return {
+        "user_id": seen[0]["user_id"], "device": seen[0]["device"], "first_ts": seen[0]["ts"], "last_ts": seen[-1]["ts"], "events": len(seen),
+        "views": kinds.count("view"), "clicks": kinds.count("click"), "searches": kinds.count("search"), "cart_adds": kinds.count("add_to_cart"),
+        "cart_removes": kinds.count("remove_from_cart"), "purchases": len(bought), "open_adds": sum(e["event_type"] == "add_to_cart" for e in open_),
+        "cart_size": len(cart), "cart_value": float(sum(cart.values())), "products": distinct("product_id"), "categories": distinct("category"), "brands": distinct("brand"),
+        "price_sum": float(sum(prices)), "price_count": len(prices), "price_max": float(max([0.0, *prices])), "gap_sum": sum(gaps), "gap_count": len(gaps), "gap_max": max([0, *gaps]),
+    }

@@ -8,8 +8,7 @@ import pytest
 from siltmill.operators import dataset, metrics, sessions
 from siltmill.operators.model import Ensemble, demo_ensemble, export, permutation_importance, scored, train_logistic, train_trees
 from siltmill.schema import EVENT_FIELDS, EVENT_SCHEMA
-from siltmill.streaming import predictor
-from tests.reference_fold import random_events
+from tests.reference_fold import random_events, state_after, states
 
 
 @pytest.fixture(scope="module")
@@ -23,11 +22,7 @@ def table(spark, events):
 
 
 def folded(events):
-    out, states = {}, {}
-    for e in sorted(events, key=lambda e: (e["ts"], e["event_id"])):
-        state = predictor.fold(states.setdefault(e["session_id"], predictor.fresh()), e)
-        out[e["event_id"]] = predictor.columns(state)
-    return out
+    return states(sorted(events, key=lambda e: (e["ts"], e["event_id"])))
 
 
 def test_windows_are_the_fold(events, table):
@@ -62,13 +57,12 @@ def plain_examples(events):
         by.setdefault(e["session_id"], []).append(e)
     out = {}
     for sid, es in by.items():
-        state, pending = predictor.fresh(), []
+        pending = []
         for i, e in enumerate(es):
-            predictor.fold(state, e)
             if e["event_type"] == "purchase":
                 out |= {(sid, j): False for j in pending}
                 pending = []
-            elif state["open_adds"] > 0:
+            elif state_after(es[: i + 1])["open_adds"] > 0:
                 pending.append(i)
         out |= {(sid, j): True for j in pending}
     return out
