@@ -18,15 +18,26 @@ from ..functions.text import analyze, delta_encode
 from .sequence import with_sequence
 
 
+TABLES = ("docs", "postings", "termdict", "segments")
+
+
 @dataclass(frozen=True)
 class Index:
     docs: DataFrame
     postings: DataFrame
     termdict: DataFrame
     segments: DataFrame
+    #: Of a stored index, the rows of ``segments`` by name; searches plan with them on the driver. None where the
+    #: tables are plans of their own or have too many segments.
+    stats: dict[str, dict] | None = None
 
     def cache(self) -> Index:
-        return replace(self, **{k: getattr(self, k).cache() for k in ("docs", "postings", "termdict", "segments")})
+        return replace(self, **{k: getattr(self, k).cache() for k in TABLES})
+
+    def only(self, names: Sequence[str]) -> Index:
+        """The same index with some of its segments; of stored tables only their folders are read."""
+        tables = {k: getattr(self, k).filter(F.col("segment").isin(*names)) for k in TABLES}
+        return replace(self, **tables, stats=None if self.stats is None else {n: self.stats[n] for n in names})
 
 
 def assign_segments(df: DataFrame, docs_per_segment: int, position: str | None = None, order: Sequence[str] = ()) -> DataFrame:

@@ -3,6 +3,11 @@
 Which documents match (all terms or any) is a condition on the sum's group, so matching and scoring share one
 shuffle of the matching postings. Top-k is a sort with a limit, which Spark runs in every partition first;
 documents are fetched after it.
+
+A stored index is searched in two steps. The term dictionary says first which of the at most MAX_TERMS terms are in
+which segments; a query that nothing can match ends there. Then only the segments that can match are opened, with the
+terms as filters that reach the files' statistics and bloom filters, and the weights - a row for each term and segment
+that is left - are broadcast. An index of more than PLANNED segments is searched in one lazy plan instead.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from .index import Index
 
 # Limits of a query from outside.
 MAX_QUERY, MAX_TERMS, MAX_K, MAX_OFFSET = 256, 16, 100, 500
+#: Segments up to which a stored index's dictionary rows and statistics are taken to the driver.
+PLANNED = 10_000
 
 
 @dataclass(frozen=True)
@@ -74,14 +81,54 @@ def weights(index: Index, terms: Sequence[str], segments: DataFrame, global_stat
     return own.select("segment", "term").join(F.broadcast(both), "term")
 
 
+def in_window(stats: dict[str, dict], start: int | None, end: int | None) -> list[str]:
+    """As ``overlapping``, for segments whose statistics are known."""
+    return [n for n, r in stats.items() if (start is None or r["max_ts"] >= start) and (end is None or r["min_ts"] <= end)]
+
+
+def planned_weights(index: Index, terms: Sequence[str], options: Options) -> tuple[DataFrame | None, list[str]]:
+    """The weights of a stored index's terms and the segments that can match, from one look at the dictionary."""
+    live = in_window(index.stats, options.start, options.end)
+    wanted = index.termdict.filter(F.col("term").isin(*terms))
+    if len(live) < len(index.stats):
+        wanted = wanted.filter(F.col("segment").isin(*live))
+    found: dict[str, dict[str, int]] = {}
+    for r in wanted.select("segment", "term", "df").collect():
+        found.setdefault(r["segment"], {})[r["term"]] = r["df"]
+    enough = len(terms) if options.mode == "and" else 1
+    names = sorted(n for n, dfs in found.items() if len(dfs) >= enough)
+    if not names:
+        return None, []
+    if options.global_stats:
+        n, total = (sum(index.stats[x][c] for x in live) for c in ("num_docs", "total_length"))
+        dfs: dict[str, int] = {}
+        for of in found.values():
+            for t, df in of.items():
+                dfs[t] = dfs.get(t, 0) + df
+        rows = [(x, t, dfs[t], n, total) for x in names for t in found[x]]
+    else:
+        rows = [(x, t, df, index.stats[x]["num_docs"], index.stats[x]["total_length"]) for x in names for t, df in found[x].items()]
+    table = index.postings.sparkSession.createDataFrame(rows, "segment string, term string, df long, n long, total long")
+    return table.select("segment", "term", idf(F.col("n"), F.col("df")).alias("weight"), F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("average")), names
+
+
 def matches(index: Index, query: str, options: Options = Options()) -> DataFrame:
     """(segment, doc_id, score) of every match, unordered."""
     terms = sorted(set(query_terms(query)))
-    segments = overlapping(index.segments, options.start, options.end)
-    weighted = weights(index, terms, segments, options.global_stats) if terms else None
-    if weighted is None:
-        return index.postings.limit(0).select("segment", "doc_id", F.lit(0.0).alias("score"))
-    rows = index.postings.filter(F.col("term").isin(*terms)).join(weighted, ["segment", "term"])
+    nothing = index.postings.limit(0).select("segment", "doc_id", F.lit(0.0).alias("score"))
+    if not terms:
+        return nothing
+    postings = index.postings.filter(F.col("term").isin(*terms))
+    if index.stats is None or len(terms) > MAX_TERMS:
+        weighted = weights(index, terms, overlapping(index.segments, options.start, options.end), options.global_stats)
+    else:
+        weighted, names = planned_weights(index, terms, options)
+        if not names:
+            return nothing
+        if len(names) < len(index.stats):
+            postings = postings.filter(F.col("segment").isin(*names))
+        weighted = F.broadcast(weighted)  # at most MAX_TERMS rows for each of PLANNED segments
+    rows = postings.join(weighted, ["segment", "term"])
     if options.exact_window:
         inside = F.lit(True) if options.start is None else F.col("ts") >= options.start
         inside = inside if options.end is None else inside & (F.col("ts") <= options.end)
@@ -113,8 +160,23 @@ def total_hits(index: Index, query: str, options: Options = Options()) -> DataFr
 
 
 def fetch(index: Index, hits: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """A page of hits with stored fields, in rank order. A page is at most MAX_K rows, so it is broadcast."""
-    stored = index.docs.select("segment", "doc_id", *[f for f in fields if f not in ("segment", "doc_id")])
+    """A page of hits with stored fields, in rank order. A page is at most MAX_K rows, so it is broadcast.
+
+    Of a stored index the page is found first, and only its segments' folders and its documents' row groups are read.
+    """
+    stored = index.docs
+    if index.stats is not None:
+        page = hits.limit(MAX_K + 1).collect()
+        if len(page) <= MAX_K:
+            by: dict[str, list[int]] = {}
+            for r in page:
+                by.setdefault(r["segment"], []).append(r["doc_id"])
+            here = F.lit(False)
+            for name, ids in by.items():
+                here |= (F.col("segment") == name) & F.col("doc_id").isin(*ids)
+            stored = stored.filter(F.col("segment").isin(*by)).filter(here) if by else stored.limit(0)
+            hits = stored.sparkSession.createDataFrame(page, hits.schema)
+    stored = stored.select("segment", "doc_id", *[f for f in fields if f not in ("segment", "doc_id")])
     return stored.join(F.broadcast(hits), ["segment", "doc_id"]).orderBy("rank")
 
 

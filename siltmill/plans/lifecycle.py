@@ -3,25 +3,41 @@
 Below the store: ``tables/{docs,postings,termdict,segments}/segment=<name>``. A segment's rows are written first
 and its manifest entry after that; what no manifest names does not exist for readers. Writing a segment again
 replaces it, since its name comes from its offsets.
+
+Postings and dictionary lie in order of terms, with bloom filters on the term, so that a look for a term skips what
+cannot hold it. The tables' columns are known (those of docs are kept beside them), so opening an index reads nothing.
 """
 
 from __future__ import annotations
 
+import json
 import time
-from collections import defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import search as s
-from ..operators.index import Index, analyzed, assign_segments, build_postings, segment_stats
+from ..operators.index import TABLES, Index, analyzed, assign_segments, build_postings, segment_stats
 from ..schema import TEXT_FIELDS
 from ..sources.store import Store
 from . import manifest as m
 
-TABLES = ("docs", "postings", "termdict", "segments")
+#: Columns of the tables whose columns are always the same.
+COLUMNS = {
+    "postings": "term string, doc_id long, tf int, length int",
+    "termdict": "term string, df long",
+    "segments": "num_docs long, num_terms long, num_postings long, total_length long, min_ts long, max_ts long",
+}
+DOCS_SCHEMA = "tables/docs.schema.json"
+#: Documents of a segment that one task indexes, so that a large segment is many tasks' work and files.
+RUN = 1_000
+#: Rows up to which tables of names are broadcast, requests to a store at a time, and bytes of a merged segment for each task.
+SMALL, REQUESTS, MERGED_BYTES = 50_000, 16, 8 << 20
 DOCS_PER_SEGMENT = 5_000
 GRACE = 3_600.0
 #: Seconds after which a coordinator reads its manifest again.
@@ -40,42 +56,70 @@ def table_path(store: Store, table: str) -> str:
 def write_segments(store: Store, placed: DataFrame, fields: Sequence[str], names: Sequence[str]) -> None:
     """Writes documents (with segment names and doc_id) as whole segments.
 
-    Texts are dealt to segments before they are tokenised, so one shuffle serves everything: counting and sorting
-    stay within a segment's task, which its size bounds. Postings are made once; the dictionary and the statistics
-    are read from what was written.
+    Runs of documents are dealt to tasks and tokenised there, once: the tokens are kept while documents and postings
+    are written from them. A run holds its documents whole, so counting needs no shuffle. The dictionary and the
+    statistics are read from what was written.
     """
-    docs = analyzed(placed.repartition("segment"), fields)
-    stored = docs.drop("tokens")
-    _write(store, "docs", stored.sortWithinPartitions("segment", "doc_id"))
-    _write(store, "postings", build_postings(docs).sortWithinPartitions("segment", "term", "doc_id"))
+    dealt = placed.withColumn("__run", F.floor(F.col("doc_id") / RUN)).repartition("segment", "__run")
+    docs = analyzed(dealt, fields).persist(StorageLevel.DISK_ONLY)
+    try:
+        stored = docs.drop("tokens", "__run")
+        _keep_schema(store, stored.schema)
+        _write(store, "docs", stored.sortWithinPartitions("segment", "doc_id"))
+        counted = docs.select("segment", "__run", "doc_id", "length", F.explode("tokens").alias("term"))
+        tf = counted.groupBy("segment", "__run", "doc_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+        _write(store, "postings", tf.select("segment", "term", "doc_id", "tf", "length").sortWithinPartitions("segment", "term", "doc_id"))
+    finally:
+        docs.unpersist()
     termdict = read_table(store, "postings", names).groupBy("segment", "term").agg(F.count("*").alias("df"))
     _write(store, "termdict", termdict.repartition("segment").sortWithinPartitions("segment", "term"))
     stats = segment_stats(read_table(store, "docs", names), read_table(store, "termdict", names))
-    _write(store, "segments", stats.repartition("segment"))
+    _write(store, "segments", stats.coalesce(1))
+
+
+def _options(table: str) -> dict[str, str]:
+    bloom = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true"} if table in ("postings", "termdict") else {}
+    return {"compression": "zstd", **bloom}
 
 
 def _write(store: Store, table: str, df: DataFrame) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("segment").parquet(table_path(store, table))
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**_options(table)).partitionBy("segment").parquet(table_path(store, table))
+
+
+def _keep_schema(store: Store, schema: StructType) -> None:
+    """Adds the columns of documents to those that the store has had so far."""
+    known = StructType.fromJson(json.loads(store.get(DOCS_SCHEMA))) if store.exists(DOCS_SCHEMA) else StructType()
+    new = [StructField(f.name, f.dataType) for f in schema if f.name not in known.names and f.name != "segment"]
+    if new:
+        store.put(DOCS_SCHEMA, StructType([*known.fields, *new]).json().encode())
 
 
 def segment_bytes(store: Store, names: Sequence[str]) -> dict[str, int]:
-    sizes: dict[str, int] = defaultdict(int)
-    for name in names:
-        for table in TABLES:
-            sizes[name] += sum(f.size for f in store.list(f"tables/{table}/segment={name}/"))
-    return sizes
+    size = lambda name: sum(f.size for t in TABLES for f in store.list(f"tables/{t}/segment={name}/"))
+    with ThreadPoolExecutor(REQUESTS) as pool:
+        return dict(zip(names, pool.map(size, names), strict=True))
 
 
 def read_table(store: Store, table: str, names: Sequence[str]) -> DataFrame:
-    """The rows of some segments; the filter is static, so only their folders are opened."""
-    df = store.spark.read.option("basePath", table_path(store, table)).parquet(*[f"{table_path(store, table)}/segment={n}" for n in names])
-    return df.withColumn("segment", F.col("segment").cast("string"))
+    """The rows of some segments; only their folders are opened."""
+    if table in COLUMNS:
+        schema = StructType.fromDDL(COLUMNS[table])
+    else:
+        schema = StructType.fromJson(json.loads(store.get(DOCS_SCHEMA)))
+    # The name comes last, as partition columns do.
+    schema = StructType([*schema.fields, StructField("segment", StringType())])
+    return store.spark.read.schema(schema).option("basePath", table_path(store, table)).parquet(*[f"{table_path(store, table)}/segment={n}" for n in names])
 
 
 def open_index(store: Store, live: m.Manifest, start: int | None = None, end: int | None = None) -> Index | None:
     """The live segments that a time window can touch, pruned before anything is read; None if there are none."""
     names = [name_of(x.key) for x in live.segments if x.overlaps(start, end)]
-    return Index(*(read_table(store, t, names) for t in TABLES)) if names else None
+    if not names:
+        return None
+    index = Index(*(read_table(store, t, names) for t in TABLES))
+    if len(names) > s.PLANNED:
+        return index
+    return replace(index, stats={r["segment"]: r.asDict() for r in index.segments.collect()})
 
 
 def section_sizes(store: Store) -> dict[str, int]:
@@ -87,8 +131,8 @@ def ingest(store: Store, docs: DataFrame, docs_per_segment: int = DOCS_PER_SEGME
     placed = assign_segments(docs, docs_per_segment, position, order)
     last = placed.groupBy("segment").agg(F.max("doc_id").alias("last")).orderBy("segment").collect()  # a row for each segment
     keys = {r["segment"]: m.batch_key(r["segment"] * docs_per_segment, r["segment"] * docs_per_segment + r["last"]) for r in last}
-    sizes = placed.sparkSession.createDataFrame([(k, name_of(v)) for k, v in keys.items()], "segment long, __name string")
-    named = placed.join(F.broadcast(sizes), "segment").drop("segment").withColumnRenamed("__name", "segment")
+    table = placed.sparkSession.createDataFrame([(k, name_of(v)) for k, v in keys.items()], "segment long, __name string")
+    named = placed.join(_if_small(table, len(keys)), "segment").drop("segment").withColumnRenamed("__name", "segment")
     if keys:
         write_segments(store, named, fields, [name_of(k) for k in keys.values()])
     live = m.read(store, manifest_key).replaced(_entries(store, {k: (s * docs_per_segment, None) for s, k in keys.items()}))
@@ -96,6 +140,11 @@ def ingest(store: Store, docs: DataFrame, docs_per_segment: int = DOCS_PER_SEGME
     return live
 
 
+def _if_small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of names for a join, broadcast if it has few rows."""
+    return F.broadcast(table) if rows <= SMALL else table
+
+
 def _entries(store: Store, keys: dict[str, tuple[int, int | None]]) -> list[m.Segment]:
     """Manifest entries of segments just written, from their own statistics."""
     if not keys:
@@ -125,7 +174,7 @@ def publish_batch(store: Store, docs: DataFrame, max_docs: int, fields: Sequence
         return []
     keys = {(r["partition"], r["__cut"]): m.stream_key(r["partition"], r["lo"], r["hi"]) for r in spans}
     table = docs.sparkSession.createDataFrame([(*k, name_of(v)) for k, v in keys.items()], "partition int, __cut long, __name string")
-    placed = cut.withColumn("partition", F.col("partition").cast("int")).join(F.broadcast(table), ["partition", "__cut"])
+    placed = cut.withColumn("partition", F.col("partition").cast("int")).join(_if_small(table, len(keys)), ["partition", "__cut"])
     placed = placed.drop(*{"segment", "doc_id"} & set(placed.columns)).withColumn("doc_id", F.pmod("__n", F.lit(max_docs)).cast("long")).withColumnRenamed("__name", "segment").drop("__n", "__cut", "partition", "offset")
     write_segments(store, placed, fields, [name_of(k) for k in keys.values()])
     entries = {e.key: e for e in _entries(store, {keys[r["partition"], r["__cut"]]: (r["lo"], r["hi"]) for r in spans})}
@@ -150,46 +199,63 @@ class Compaction:
 
 
 def merge_group(store: Store, group: list[m.Segment], manifest_key: str = m.KEY) -> m.Segment:
-    """Merges neighbours into one segment and publishes it; the sources stay stored.
+    """Merges neighbours into one segment and publishes it; the sources stay stored."""
+    merged = _merge(store, group)
+    _publish_merged(store, group, merged, manifest_key)
+    return merged
+
+
+def _merge(store: Store, group: list[m.Segment]) -> m.Segment:
+    """Writes one segment with the documents of several neighbours.
 
     Documents keep their order: each source's doc_ids move up by the documents before it. Nothing is tokenised
-    again, and the number of sources is at most the merge factor.
+    again; the dictionary is the sum of the sources', and so are the statistics.
     """
     spark, key = store.spark, m.merged_key(group)
-    bases, total = [], 0
-    for x in group:
-        bases.append((name_of(x.key), total))
+    base, total = F.lit(None).cast("long"), 0
+    names = [name_of(x.key) for x in group]
+    for name, x in zip(names, group, strict=True):  # at most the merge factor's number
+        base = F.when(F.col("segment") == name, F.lit(total).cast("long")).otherwise(base)
         total += x.docs
-    base = F.broadcast(spark.createDataFrame(bases, "segment string, __base long"))
-    names = [b[0] for b in bases]
     target = name_of(key)
+    parts = max(1, min(sum(x.bytes for x in group) // MERGED_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def write(table: str, df: DataFrame, order: Sequence[str]) -> None:
+        out = df.drop("segment")
+        if order:
+            out = (out.repartitionByRange(parts, *order) if parts > 1 else out.coalesce(1)).sortWithinPartitions(*order)
+        out.write.mode("overwrite").options(**_options(table)).parquet(f"{table_path(store, table)}/segment={target}")
+
+    moved = lambda table: read_table(store, table, names).withColumn("doc_id", F.col("doc_id") + base)
+    termdict = read_table(store, "termdict", names).groupBy("term").agg(F.sum("df").alias("df"))
+    sums = read_table(store, "segments", names).agg(*[F.sum(c).alias(c) for c in ("num_docs", "num_postings", "total_length")], F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+    with ThreadPoolExecutor(3) as pool:
+        done = [pool.submit(write, "docs", moved("docs"), ["doc_id"]), pool.submit(write, "postings", moved("postings"), ["term", "doc_id"]), pool.submit(write, "termdict", termdict, ["term"])]
+        for d in done:
+            d.result()
+    counted = read_table(store, "termdict", [target]).agg(F.count("*").alias("num_terms"))  # one row
+    write("segments", sums.join(F.broadcast(counted)).select(*StructType.fromDDL(COLUMNS["segments"]).names), [])
+    merged = _entries(store, {key: (group[0].first_offset, group[-1].last_offset)})[0]
+    return replace(merged, first_offset=group[0].first_offset, last_offset=group[-1].last_offset)
 
-    def moved(table: str) -> DataFrame:
-        df = read_table(store, table, names).join(base, "segment")
-        return df.withColumn("doc_id", F.col("doc_id") + F.col("__base")).drop("__base").withColumn("segment", F.lit(target))
 
-    docs, postings = moved("docs"), moved("postings")
-    termdict = read_table(store, "termdict", names).groupBy("term").agg(F.sum("df").alias("df")).withColumn("segment", F.lit(target))
-    for table, df, order in (("docs", docs, ["doc_id"]), ("postings", postings, ["term", "doc_id"]), ("termdict", termdict, ["term"]), ("segments", segment_stats(docs, termdict), [])):
-        out = df.repartitionByRange(max(1, total // 50_000), *order) if order else df
-        out = out.sortWithinPartitions(*order) if order else out
-        out.drop("segment").write.mode("overwrite").option("compression", "zstd").parquet(f"{table_path(store, table)}/segment={target}")
-    merged = _entries(store, {key: (group[0].first_offset, group[-1].last_offset)})[0]
-    merged = replace(merged, first_offset=group[0].first_offset, last_offset=group[-1].last_offset)
-    # The manifest is read again, so that what was published meanwhile stays.
+def _publish_merged(store: Store, group: list[m.Segment], merged: m.Segment, manifest_key: str) -> None:
+    """The manifest is read again, so that what was published meanwhile stays."""
     live, retired = m.read(store, manifest_key), {x.key for x in group}
-    m.write(store, live.replaced([*(x for x in live.segments if x.key not in retired and x.key != key), merged]), manifest_key)
-    return merged
+    m.write(store, live.replaced([*(x for x in live.segments if x.key not in retired and x.key != merged.key), merged]), manifest_key)
 
 
-def compact(store: Store, manifest_key: str = m.KEY, merge_factor: int = m.FACTOR, max_bytes: int = m.MAX_BYTES, on_merge=None) -> Compaction:
+def compact(store: Store, manifest_key: str = m.KEY, merge_factor: int = m.FACTOR, max_bytes: int = m.MAX_BYTES, on_merge=None, at_once: int = 4) -> Compaction:
+    """Merges what the plan says, some groups at a time; each is published as it is done."""
     out = Compaction()
-    for group in m.plan_compaction(m.read(store, manifest_key).segments, merge_factor, max_bytes):
-        merged = merge_group(store, group, manifest_key)
-        out.merged.append(merged)
-        out.retired += group
-        if on_merge:
-            on_merge(group, merged)
+    groups = m.plan_compaction(m.read(store, manifest_key).segments, merge_factor, max_bytes)
+    with ThreadPoolExecutor(at_once) as pool:
+        for group, merged in zip(groups, pool.map(lambda g: _merge(store, g), groups), strict=True):
+            _publish_merged(store, group, merged, manifest_key)
+            out.merged.append(merged)
+            out.retired += group
+            if on_merge:
+                on_merge(group, merged)
     return out
 
 
@@ -239,6 +305,7 @@ class Coordinator:
     def __init__(self, store: Store, partitioned: bool = False, manifest_key: str = m.KEY, stale: float = STALE):
         self.store, self.partitioned, self.manifest_key, self.stale = store, partitioned, manifest_key, stale
         self.live, self._read_at = m.Manifest(), 0.0
+        self._open: tuple[m.Manifest, Index | None] | None = None
         self.refresh()
 
     def refresh(self) -> m.Manifest:
@@ -255,7 +322,17 @@ class Coordinator:
                 self._read_at = time.monotonic()
 
     def index(self, options: s.Options = s.Options()) -> Index | None:
-        return open_index(self.store, self.live, options.start, options.end)
+        """The index that a query needs: of what is open the segments in its window, else only those are opened."""
+        held = self._open
+        whole = options.start is None and options.end is None
+        if whole and (held is None or held[0] is not self.live):
+            held = self._open = (self.live, open_index(self.store, self.live))
+        if held is None or held[0] is not self.live:
+            return open_index(self.store, self.live, options.start, options.end)
+        if whole or held[1] is None:
+            return held[1]
+        names = [name_of(x.key) for x in self.live.segments if x.overlaps(options.start, options.end)]
+        return held[1].only(names) if names else None
 
     def search(self, query: str, options: s.Options = s.Options(), fields: Sequence[str] = ()) -> DataFrame | None:
         index = self.index(options)
