@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import titles
 from ..functions.text import STOPWORDS
 from ..operators import dataset, metrics, search, sessions
 from ..operators.index import contains_terms, index_shape, posting_lists, term_df, top_terms
 from ..operators.model import demo_ensemble, score_column
 from ..operators.search import Options
-from ..sources import tables
+from ..sources import clickstream, tables
 from . import manifest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,21 +232,18 @@ def normalize_events(spark, sf_dir):
 
 @query(f"WITH {_EVENTS} SELECT event_type, count(*) AS n FROM ev GROUP BY 1")
 def event_type_counts(spark, sf_dir):
-    return tables.clickstream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+    return clickstream.type_counts(tables.clickstream(spark, sf_dir))
 
 
-@query(f"WITH {_EVENTS} SELECT count(*) AS events, count(*) FILTER (brand IS NULL) AS missing_brand, count(*) FILTER (category IS NULL) AS missing_category, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT session_id) AS sessions FROM ev")
+@query(f"WITH {_EVENTS} SELECT count(*) AS rows_read, 0::BIGINT AS rows_skipped, count(*) AS events, count(*) FILTER (brand IS NULL) AS missing_brand, count(*) FILTER (category IS NULL) AS missing_category, count(*) AS missing_title, min(ts) AS first_ts, max(ts) AS last_ts FROM ev")
 def load_stats(spark, sf_dir):
-    e = tables.clickstream(spark, sf_dir)
-    return e.agg(F.count("*").alias("events"), F.count_if(F.col("brand").isNull()).alias("missing_brand"), F.count_if(F.col("category").isNull()).alias("missing_category"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("session_id").alias("sessions"))
+    return clickstream.load_stats(tables.clickstream(spark, sf_dir).withColumn("reason", F.lit(None).cast("string")))
 
 
-@query(f"""WITH {_EVENTS}, num AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM ev), first AS (SELECT session_id, min(rn) AS f FROM num WHERE rn < 1000 GROUP BY 1 ORDER BY f LIMIT 50)
-SELECT event_id, session_id FROM num SEMI JOIN first USING (session_id) WHERE rn < 5000""")
+@query(f"""WITH {_EVENTS}, num AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM ev), first AS (SELECT session_id, min(rn) AS f FROM num WHERE rn < 400000 GROUP BY 1 ORDER BY f LIMIT 2000)
+SELECT event_id, session_id FROM num SEMI JOIN first USING (session_id) WHERE rn < 2000000""")
 def session_slice(spark, sf_dir):
-    from ..sources.clickstream import slice_sessions
-
-    return slice_sessions(tables.clickstream(spark, sf_dir), 50, 5000, "session_id", "event_id").select("event_id", "session_id")
+    return clickstream.slice_sessions(tables.clickstream(spark, sf_dir), session="session_id", seq="event_id").select("event_id", "session_id")
 
 
 def _state(spark, sf_dir):
@@ -306,9 +305,12 @@ def time_split_sizes(spark, sf_dir):
     return rows.groupBy("is_train").agg(F.count("*").alias("examples"), F.count_distinct("session_id").alias("sessions"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS session_id WHERE false")
+@query(f"WITH {_SPLIT} SELECT session_id FROM ex CROSS JOIN cut GROUP BY 1 HAVING count(DISTINCT session_start <= cutoff) > 1 UNION ALL SELECT 'by index ' || session_id FROM ex GROUP BY 1 HAVING count(DISTINCT event_index % 2) > 1")
 def split_overlap(spark, sf_dir):
-    return dataset.session_overlap(dataset.time_split(dataset.examples(tables.clickstream(spark, sf_dir))))
+    """No session of the split in time, and those that a split by place in the session tears apart."""
+    rows = dataset.examples(tables.clickstream(spark, sf_dir))
+    torn = dataset.session_overlap(rows.withColumn("is_train", F.col("event_index") % 2 == 0))
+    return dataset.session_overlap(dataset.time_split(rows)).unionByName(torn.select(F.concat(F.lit("by index "), "session_id").alias("session_id")))
 
 
 _PARTED = _EVENTS + ", pe AS (SELECT *, CAST(user_id AS BIGINT) % 12 AS part FROM ev)"
@@ -414,7 +416,13 @@ def time_overlap_prune(spark, sf_dir):
     return search.overlapping(_meta(spark, sf_dir), _FROM + 120, _FROM + 340).select("key")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_META}, ordered AS (SELECT *, row_number() OVER (ORDER BY first_offset, key) AS i FROM meta),
+walk AS (SELECT i, i AS begins, 1 AS len, bytes AS most, bytes AS least, bytes AS total FROM ordered WHERE i = 1 UNION ALL
+SELECT i, CASE WHEN fits THEN begins ELSE i END, CASE WHEN fits THEN len + 1 ELSE 1 END, CASE WHEN fits THEN greatest(most, bytes) ELSE bytes END, CASE WHEN fits THEN least(least, bytes) ELSE bytes END, CASE WHEN fits THEN total + bytes ELSE bytes END
+FROM (SELECT o.i, o.bytes, w.begins, w.len, w.most, w.least, w.total, w.len < 3 AND o.bytes <= 4 * w.most AND o.bytes * 4 >= w.least AND w.total + o.bytes <= 268435456 AS fits FROM walk w JOIN ordered o ON o.i = w.i + 1)),
+runs AS (SELECT begins, row_number() OVER (ORDER BY begins) - 1 AS grp FROM walk WHERE len = 3),
+members AS (SELECT r.grp, r.begins, o.* FROM runs r JOIN ordered o ON o.i BETWEEN r.begins AND r.begins + 2)
+SELECT CAST(grp AS INTEGER) AS grp, key, printf('segments/%020d-%020d.seg', min(first_offset) OVER (PARTITION BY grp), max(last_offset) OVER (PARTITION BY grp)) AS merged FROM members""")
 def compaction_plan(spark, sf_dir):
     rows = manifest.plan_compaction(manifest.metas(_meta(spark, sf_dir)), merge_factor=3)
     return spark.createDataFrame([(g, s.key, manifest.merged_key(group)) for g, group in enumerate(rows) for s in group], "grp int, key string, merged string")
@@ -425,13 +433,22 @@ def next_offset(spark, sf_dir):
     return _meta(spark, sf_dir).agg(F.coalesce(F.max("last_offset") + 1, F.lit(0)).cast("long").alias("next_offset"))
 
 
-@query()
-def product_titles(spark, sf_dir):
-    """Titles of parts; DuckDB has no CRC-32."""
-    from ..functions.titles import derive_title
+def _crc(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda t: ascii(t)::BIGINT)), lambda c, b: {bits}), 4294967295)"
 
+
+def _word(words: tuple[tuple[str, int], ...], digest: str) -> str:
+    ends = list(accumulate(w for _, w in words))
+    return f"CASE {' '.join(f'WHEN {digest} % {ends[-1]} < {end} THEN {chr(39)}{word.capitalize()}{chr(39)}' for (word, _), end in zip(words, ends, strict=True))} END"
+
+
+@query(f"""WITH d AS (SELECT p_partkey, lower(p_brand) AS brand, split_part(lower(p_type), ' ', -1) AS leaf, {_crc("p_partkey::VARCHAR || 'color'")} AS c, {_crc("p_partkey::VARCHAR || 'modifier'")} AS m, {_crc("p_partkey::VARCHAR || 'model'")} AS k FROM part)
+SELECT p_partkey, concat_ws(' ', upper(brand[1]) || brand[2:], {_word(titles.COLORS, 'c')}, {_word(titles.MODIFIERS, 'm')}, upper(leaf[1]) || leaf[2:], chr(CAST(65 + k % 26 AS INTEGER)) || lpad(CAST((k // 26) % 1000 AS VARCHAR), 3, '0')) AS title FROM d""")
+def product_titles(spark, sf_dir):
     p = tables.table(spark, sf_dir, "part")
-    return p.select("p_partkey", derive_title(F.col("p_partkey").cast("string"), F.lower("p_brand"), F.lower(F.replace("p_type", F.lit(" "), F.lit(".")))).alias("title"))
+    return p.select("p_partkey", titles.derive_title(F.col("p_partkey").cast("string"), F.lower("p_brand"), F.lower(F.replace("p_type", F.lit(" "), F.lit(".")))).alias("title"))
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:

@@ -29,16 +29,15 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All rows as strings in file order (``seq``), plain or gzipped; rows of another width are kept in ``_corrupt``.
+    """All rows as strings, plain or gzipped; rows of another width are kept in ``_corrupt``.
 
-    A user schema binds by position, so it follows the header. Column pruning must be off, or rows that are too
-    short would not be noticed.
+    ``seq`` orders rows by their file's path, then by their place in the file. A user schema binds by position, so it
+    follows the header. Column pruning is off, or rows that are too short would not be noticed.
     """
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     schema = StructType([StructField(c, StringType()) for c in [*header_of(spark, path), CORRUPT]])
-    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(path)
-    # Splits of one file are read in order, and this id grows with the split and the row.
-    return raw.withColumn("seq", F.monotonically_increasing_id())
+    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).option("columnPruning", False).csv(path)
+    # Within a split, rows come in order and the id grows.
+    return raw.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")))
 
 
 def epoch(column: Column) -> Column:
