@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from siltmill.plans import catalogue
+from siltmill.plans import catalogue, stored_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "part events documents pages".split()
@@ -26,7 +26,7 @@ def plain(v):
     return None if isinstance(v, float) and math.isnan(v) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(stored_queries.SQL))
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     want = duck.sql(catalogue.SQL[name])
