@@ -4,8 +4,9 @@ Below the store: ``tables/{docs,postings,termdict,segments}/segment=<name>``. A
 and its manifest entry after that; what no manifest names does not exist for readers. Writing a segment again
 replaces it, since its name comes from its offsets.
 
-Postings and dictionary lie in order of terms, with bloom filters on the term, so that a look for a term skips what
-cannot hold it. The tables' columns are known (those of docs are kept beside them), so opening an index reads nothing.
+Postings and dictionary lie in order of terms. The dictionary's files have a bloom filter on the term, those of the
+postings have one or, while a dictionary page holds all their terms, that page, so a look for a term skips what cannot
+hold it. The tables' columns are known (those of docs are kept beside them), so opening an index reads nothing.
 """
 
 from __future__ import annotations
@@ -78,8 +79,12 @@ def write_segments(store: Store, placed: DataFrame, fields: Sequence[str], names
 
 
 def _options(table: str) -> dict[str, str]:
-    bloom = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true"} if table in ("postings", "termdict") else {}
-    return {"compression": "zstd", **bloom}
+    out = {"compression": "zstd"}
+    if table in ("postings", "termdict"):
+        out |= {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    if table == "termdict":  # every term once: a dictionary page would hold them all a second time
+        out["parquet.enable.dictionary#term"] = "false"
+    return out
 
 
 def _write(store: Store, table: str, df: DataFrame) -> None:

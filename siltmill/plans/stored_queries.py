@@ -373,6 +373,13 @@ def session_runs(spark, sf_dir):
     return sessions.with_runs(_log(spark, sf_dir)).select("event_id", "run")
 
 
+@query(f"WITH {_EVENTS} SELECT session_id, 1::BIGINT AS partitions, true AS in_range FROM ev GROUP BY 1")
+def log_partitions(spark, sf_dir):
+    """A key's events all go to one of the log's partitions."""
+    placed = tables.clickstream(spark, sf_dir).withColumn("p", sessions.partition_of("session_id", 12))
+    return placed.groupBy("session_id").agg(F.count_distinct("p").alias("partitions"), ((F.min("p") >= 0) & (F.max("p") < 12)).alias("in_range"))
+
+
 @query(f"WITH {_LOG} SELECT event_id, max(ts) OVER (PARTITION BY part ORDER BY place) AS watermark FROM log")
 def running_watermarks(spark, sf_dir):
     return sessions.running_watermarks(_log(spark, sf_dir)).select("event_id", "watermark")

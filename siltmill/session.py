@@ -9,8 +9,6 @@ from pyspark.sql import SparkSession
 #: Settings that results depend on, and those that plans are made for.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
-    # Column pruning would hide rows that are too short from the CSV reader.
-    "spark.sql.csv.parser.columnPruning.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

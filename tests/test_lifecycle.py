@@ -92,6 +92,54 @@ def test_time_pruning_opens_fewer_segments(spark, store):
     assert all("segment=" in f for f in pruned.postings.inputFiles()) and len(pruned.postings.inputFiles()) < len(c.index().postings.inputFiles())
 
 
+def test_terms_have_bloom_filters_and_order(spark, store, tmp_path):
+    import duckdb
+
+    lifecycle.ingest(store, table(spark, 40), docs_per_segment=20)
+    lifecycle.compact(store, merge_factor=2)
+    for name in ("postings", "termdict"):
+        files = f"{tmp_path}/store/tables/{name}/*/*.parquet"
+        found = duckdb.sql(f"SELECT file_name, bloom_filter_offset, dictionary_page_offset FROM parquet_metadata('{files}') WHERE path_in_schema = 'term'").fetchall()
+        # A file of postings needs no filter while a dictionary page has all its terms.
+        assert len({f for f, _, _ in found}) >= 3 and all(bloom or (name == "postings" and page) for _, bloom, page in found)
+        for file in {f for f, _, _ in found}:
+            terms = [r[0] for r in duckdb.sql(f"SELECT term FROM read_parquet('{file}') ORDER BY file_row_number").fetchall()] if name == "termdict" else None
+            assert terms is None or terms == sorted(terms)
+
+
+def test_a_term_that_no_segment_has_ends_the_search(spark, store):
+    """One look at the dictionary is all: no postings are opened."""
+    from pyspark.sql import functions as F
+
+    lifecycle.ingest(store, table(spark, 40), docs_per_segment=10)
+    index = lifecycle.Coordinator(store).index()
+    broken = index.postings.withColumn("tf", F.raise_error(F.lit("read")).cast("int"))
+    from dataclasses import replace
+
+    from siltmill.operators import search
+
+    closed = replace(index, postings=broken)
+    for text, o in (("absentterm", Options("or")), ("widget absentterm", Options()), ("absentterm widget", Options(global_stats=True))):
+        assert search.search(closed, text, o).collect() == [] and search.total_hits(closed, text, o).first()[0] == 0
+    with pytest.raises(Exception, match="read"):
+        search.search(closed, "widget").collect()
+
+
+def test_planned_and_lazy_searches_agree(spark, store):
+    from dataclasses import replace
+
+    from siltmill.operators import search
+
+    lifecycle.ingest(store, table(spark, 60), docs_per_segment=7)
+    index = lifecycle.Coordinator(store).index()
+    lazy = replace(index, stats=None)
+    first, last = (index.segments.agg({"min_ts": "min"}).first()[0], index.segments.agg({"max_ts": "max"}).first()[0])
+    for text in ("widget gadget1", "gadget2 phone acme", "absentterm bolt"):
+        for o in (Options(), Options("or"), Options("or", global_stats=True), Options("or", start=first + 900, end=last - 900), Options(global_stats=True, end=last - 2000)):
+            rows = [[(r["segment"], r["doc_id"], round(r["score"], 9)) for r in search.search(x, text, o).collect()] for x in (index, lazy)]
+            assert rows[0] == rows[1], (text, o)
+
+
 def test_live_ingest(spark, store):
     event = {"event_id": "x1", "ts": 5, "session_id": "s", "user_id": "u", "event_type": "view", "title": "Bespoke Widget XR9", "price": 42, "extra": 1}
     lifecycle.live_ingest(store, spark, [event])
