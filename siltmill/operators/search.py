@@ -15,8 +15,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import B, K1, check_bm25, idf, query_terms, term_score
 from .index import Index
@@ -108,7 +110,10 @@ def planned_weights(index: Index, terms: Sequence[str], options: Options) -> tup
         rows = [(x, t, dfs[t], n, total) for x in names for t in found[x]]
     else:
         rows = [(x, t, df, index.stats[x]["num_docs"], index.stats[x]["total_length"]) for x in names for t, df in found[x].items()]
-    table = index.postings.sparkSession.createDataFrame(rows, "segment string, term string, df long, n long, total long")
+    # An Arrow table becomes a local relation, which takes no job to broadcast.
+    names_of, terms_of, *counts = (list(x) for x in zip(*rows, strict=True))
+    columns = [pa.array(names_of), pa.array(terms_of), *[pa.array(c, pa.int64()) for c in counts]]
+    table = index.postings.sparkSession.createDataFrame(pa.Table.from_arrays(columns, names=["segment", "term", "df", "n", "total"]))
     return table.select("segment", "term", idf(F.col("n"), F.col("df")).alias("weight"), F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("average")), names
 
 
@@ -175,7 +180,8 @@ def fetch(index: Index, hits: DataFrame, fields: Sequence[str]) -> DataFrame:
             for name, ids in by.items():
                 here |= (F.col("segment") == name) & F.col("doc_id").isin(*ids)
             stored = stored.filter(F.col("segment").isin(*by)).filter(here) if by else stored.limit(0)
-            hits = stored.sparkSession.createDataFrame(page, hits.schema)
+            columns = [pa.array([r[f.name] for r in page], to_arrow_type(f.dataType)) for f in hits.schema]
+            hits = stored.sparkSession.createDataFrame(pa.Table.from_arrays(columns, names=hits.columns))
     stored = stored.select("segment", "doc_id", *[f for f in fields if f not in ("segment", "doc_id")])
     return stored.join(F.broadcast(hits), ["segment", "doc_id"]).orderBy("rank")
 

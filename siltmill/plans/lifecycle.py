@@ -62,7 +62,7 @@ def write_segments(store: Store, placed: DataFrame, fields: Sequence[str], names
     statistics are read from what was written.
     """
     dealt = placed.withColumn("__run", F.floor(F.col("doc_id") / RUN)).repartition("segment", "__run")
-    docs = analyzed(dealt, fields).persist(StorageLevel.DISK_ONLY)
+    docs = analyzed(dealt, fields).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stored = docs.drop("tokens", "__run")
         _keep_schema(store, stored.schema)
@@ -307,8 +307,9 @@ def collect(store: Store, grace: float = GRACE, delete: bool = False, now: float
 class Coordinator:
     """Answers queries over what is live: one manifest, or the union of all partitions' manifests."""
 
-    def __init__(self, store: Store, partitioned: bool = False, manifest_key: str = m.KEY, stale: float = STALE):
-        self.store, self.partitioned, self.manifest_key, self.stale = store, partitioned, manifest_key, stale
+    def __init__(self, store: Store, partitioned: bool = False, manifest_key: str = m.KEY, stale: float = STALE, warm: bool = False):
+        """``warm`` keeps the open index's dictionary in the executors' memory and disks, for many queries on it."""
+        self.store, self.partitioned, self.manifest_key, self.stale, self.warm = store, partitioned, manifest_key, stale, warm
         self.live, self._read_at = m.Manifest(), 0.0
         self._open: tuple[m.Manifest, Index | None] | None = None
         self.refresh()
@@ -331,7 +332,13 @@ class Coordinator:
         held = self._open
         whole = options.start is None and options.end is None
         if whole and (held is None or held[0] is not self.live):
-            held = self._open = (self.live, open_index(self.store, self.live))
+            index = open_index(self.store, self.live)
+            if self.warm:
+                if held is not None and held[1] is not None:
+                    held[1].termdict.unpersist()
+                if index is not None:
+                    index = replace(index, termdict=index.termdict.persist(StorageLevel.MEMORY_AND_DISK))
+            held = self._open = (self.live, index)
         if held is None or held[0] is not self.live:
             return open_index(self.store, self.live, options.start, options.end)
         if whole or held[1] is None:

@@ -30,7 +30,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, store: Store, ensemble: Ensemble | None = None, partitioned: bool = True, fields: tuple[str, ...] = FIELDS, feed: Feed | None = None):
         self.spark, self.store, self.ensemble, self.fields, self.feed = spark, store, ensemble, fields, feed
-        self.coordinator = Coordinator(store, partitioned)
+        self.coordinator = Coordinator(store, partitioned, warm=True)
         self._lock = threading.Lock()
 
     def health(self) -> dict:
