@@ -357,6 +357,21 @@ class Coordinator:
         index = self.index(options)
         return s.total_hits(index, query, options).first()[0] if index else 0
 
+    def cost(self, query: str, options: s.Options = s.Options()) -> dict:
+        """What a query reads: segments in all, pruned by time and searched, postings, and the steps one after the other
+        (dictionary, postings, documents) with the files that they open and those files' bytes, an upper bound."""
+        index = self.index()
+        if index is None:
+            return {"segments_total": 0, "segments_pruned": 0, "segments_searched": 0, "postings_read": 0, "steps": 0, "files": 0, "bytes": 0}
+        out = s.cost(index, query, options).first().asDict()
+        live = [name_of(x.key) for x in self.live.segments if x.overlaps(options.start, options.end)]
+        terms = sorted(set(s.query_terms(query)))
+        hit = s.planned_weights(index, terms, options)[1] if terms and index.stats is not None else live * bool(terms)
+        read = [("termdict", n) for n in live if terms] + [(t, n) for n in hit for t in ("postings", "docs")]
+        with ThreadPoolExecutor(REQUESTS) as pool:
+            files = [f for found in pool.map(lambda x: self.store.list(f"tables/{x[0]}/segment={x[1]}/"), read) for f in found if f.key.endswith(".parquet")]
+        return out | {"steps": bool(terms) * (3 if hit else 1), "files": len(files), "bytes": sum(f.size for f in files)}
+
 
 def live_ingest(store: Store, spark: SparkSession, events: list[dict], partition: int = 900, max_docs: int = 200) -> list[m.Segment]:
     """Events posted by hand: at most 200, numbered on from what the partition has, searchable on return."""

@@ -12,7 +12,7 @@ from urllib.parse import parse_qs, urlparse
 from pyspark.sql import SparkSession
 
 from .operators.model import Ensemble
-from .operators.search import Options, cost, fetch, guard, search, total_hits
+from .operators.search import Options, fetch, guard, search, total_hits
 from .operators.sessions import AT_RISK, scoring_gate, session_state
 from .plans.lifecycle import Coordinator, live_ingest
 from .schema import EVENT_FIELDS, EVENT_TYPES
@@ -56,7 +56,7 @@ class Engine:
             fields = [f for f in self.fields if f in index.docs.columns]
             out["hits"] = [{"rank": r["rank"], "segment": r["segment"], "doc_id": r["doc_id"], "score": round(r["score"], 6), "document": {f: r[f] for f in fields}} for r in fetch(index, search(index, q, options), fields).collect()]
             if explain:
-                out["cost"] = cost(index, q, options).first().asDict()
+                out["cost"] = self.coordinator.cost(q, options)
         return out | {"took_ms": round((time.perf_counter() - began) * 1000, 1)}
 
     def ingest(self, events: list[dict]) -> dict:

@@ -125,6 +125,20 @@ def test_a_term_that_no_segment_has_ends_the_search(spark, store):
         search.search(closed, "widget").collect()
 
 
+def test_cost_counts_what_is_opened(spark, store):
+    lifecycle.ingest(store, table(spark, 40), docs_per_segment=10)
+    c = lifecycle.Coordinator(store)
+    files = lambda t: [f for f in store.list(f"tables/{t}/") if f.key.endswith(".parquet")]
+    absent = c.cost("absentterm")
+    assert (absent["segments_searched"], absent["postings_read"], absent["steps"], absent["files"], absent["bytes"]) == (4, 0, 1, len(files("termdict")), sum(f.size for f in files("termdict")))
+    found = c.cost("widget")
+    every = [f for t in ("termdict", "postings", "docs") for f in files(t)]
+    assert (found["postings_read"], found["steps"], found["files"], found["bytes"]) == (40, 3, len(every), sum(f.size for f in every))
+    pruned = c.cost("widget", Options(start=c.live.segments[-1].min_ts + 1))
+    assert pruned["segments_pruned"] == 3 and pruned["files"] < found["files"]
+    assert c.cost("the")["steps"] == 0
+
+
 def test_planned_and_lazy_searches_agree(spark, store):
     from dataclasses import replace
 
