@@ -139,8 +139,10 @@ def matches(index: Index, query: str, options: Options = Options()) -> DataFrame
         inside = inside if options.end is None else inside & (F.col("ts") <= options.end)
         rows = rows.join(index.docs.filter(inside).select("segment", "doc_id"), ["segment", "doc_id"], "left_semi")
     score = term_score(F.col("tf"), F.col("length"), F.col("average"), F.col("weight"), options.k1, options.b)
+    if len(terms) == 1:  # a document has one posting of a term: nothing to add up, nothing to shuffle
+        return rows.select("segment", "doc_id", score.alias("score"))
     found = rows.groupBy("segment", "doc_id").agg(F.sum(score).alias("score"), F.count("*").alias("n"))
-    if options.mode == "and" and len(terms) > 1:
+    if options.mode == "and":
         found = found.filter(F.col("n") == len(terms))
     return found.select("segment", "doc_id", "score")
 
