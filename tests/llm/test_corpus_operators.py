@@ -154,7 +154,10 @@ def plain_components(ids, fps, radius=3):
     return [out.get(root(i)) for i in range(len(fps))]
 
 
-def test_simhash_is_brute_force(docs, small):
+@pytest.mark.parametrize("hot_keys", [1_000, 20, 1])
+def test_simhash_is_brute_force(docs, small, monkeypatch, hot_keys):
+    """Whether fingerprints are hot (all, some or none here) makes no difference."""
+    monkeypatch.setattr(simhash, "HOT_KEYS", hot_keys)
     for table in (docs, small):
         source = table.select("doc_id", "text").collect()
         fps = [plain_fingerprint(r[1]) for r in source]
