@@ -9,6 +9,7 @@ import gzip
 import json
 import threading
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +37,12 @@ def write_feed(events: DataFrame, store: Store, prefix: str = PREFIX, chunk: int
     folder = f"{prefix.rstrip('/')}-writing"
     dealt = numbered.repartition("__chunk").sortWithinPartitions("__chunk", "__place").select(line, "__chunk")
     dealt.write.mode("overwrite").partitionBy("__chunk").option("compression", "gzip").text(store.url(folder))
-    found = 0
-    for stat in store.list(f"{folder}/"):
-        if "/__chunk=" in stat.key and not stat.key.endswith("_SUCCESS"):
-            store.rename(stat.key, chunk_key(int(stat.key.split("__chunk=")[1].split("/")[0]), prefix))
-            found += 1
+    written = [s.key for s in store.list(f"{folder}/") if "/__chunk=" in s.key]
+    name = lambda key: chunk_key(int(key.split("__chunk=")[1].split("/")[0]), prefix)
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda key: store.rename(key, name(key)), written))
     store.delete(folder)
-    return found
+    return len(written)
 
 
 class Feed:
