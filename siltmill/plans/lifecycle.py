@@ -16,6 +16,7 @@ import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,10 @@ DOCS_SCHEMA = "tables/docs.schema.json"
 RUN = 1_000
 #: Rows up to which tables of names are broadcast, requests to a store at a time, and bytes of a merged segment for each task.
 SMALL, REQUESTS, MERGED_BYTES = 50_000, 16, 8 << 20
+#: Bytes of small segments that are merged by one set of jobs, and published together.
+ROUND_BYTES = 2 << 30
+#: Files of a row that a task writes, and segments above which files' sizes are listed by tasks.
+FILES, LISTED = 32, 256
 DOCS_PER_SEGMENT = 5_000
 GRACE = 3_600.0
 #: Seconds after which a coordinator reads its manifest again.
@@ -74,8 +79,13 @@ def write_segments(store: Store, placed: DataFrame, fields: Sequence[str], names
         docs.unpersist()
     termdict = read_table(store, "postings", names).groupBy("segment", "term").agg(F.count("*").alias("df"))
     _write(store, "termdict", termdict.repartition("segment").sortWithinPartitions("segment", "term"))
-    stats = segment_stats(read_table(store, "docs", names), read_table(store, "termdict", names))
-    _write(store, "segments", stats.coalesce(1))
+    _write_stats(store, segment_stats(read_table(store, "docs", names), read_table(store, "termdict", names)), len(names))
+
+
+def _write_stats(store: Store, stats: DataFrame, segments: int) -> None:
+    """Writes a row for each segment: a file each, so many are dealt to tasks by their number, not their bytes."""
+    tasks = min(-(-segments // FILES), int(store.spark.conf.get("spark.sql.shuffle.partitions")))
+    _write(store, "segments", stats.repartition(tasks, "segment") if tasks > 1 else stats.coalesce(1))
 
 
 def _options(table: str) -> dict[str, str]:
@@ -100,6 +110,11 @@ def _keep_schema(store: Store, schema: StructType) -> None:
 
 
 def segment_bytes(store: Store, names: Sequence[str]) -> dict[str, int]:
+    if len(names) > LISTED:
+        # Only paths and lengths are asked for, so no content is read.
+        found = [store.spark.read.format("binaryFile").load([f"{table_path(store, t)}/segment={n}" for n in names]).select("path", "length") for t in TABLES]
+        sizes = reduce(DataFrame.unionByName, found).groupBy(F.regexp_extract("path", "/segment=([^/]*)/[^/]*$", 1).alias("name")).agg(F.sum("length").alias("bytes"))
+        return dict.fromkeys(names, 0) | {r["name"]: r["bytes"] for r in sizes.collect()}  # a row for each segment
     size = lambda name: sum(f.size for t in TABLES for f in store.list(f"tables/{t}/segment={name}/"))
     with ThreadPoolExecutor(REQUESTS) as pool:
         return dict(zip(names, pool.map(size, names), strict=True))
@@ -206,7 +221,7 @@ class Compaction:
 def merge_group(store: Store, group: list[m.Segment], manifest_key: str = m.KEY) -> m.Segment:
     """Merges neighbours into one segment and publishes it; the sources stay stored."""
     merged = _merge(store, group)
-    _publish_merged(store, group, merged, manifest_key)
+    _publish_merged(store, [group], [merged], manifest_key)
     return merged
 
 
@@ -223,7 +238,7 @@ def _merge(store: Store, group: list[m.Segment]) -> m.Segment:
         base = F.when(F.col("segment") == name, F.lit(total).cast("long")).otherwise(base)
         total += x.docs
     target = name_of(key)
-    parts = max(1, min(sum(x.bytes for x in group) // MERGED_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(_parts(group), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def write(table: str, df: DataFrame, order: Sequence[str]) -> None:
         out = df.drop("segment")
@@ -244,23 +259,85 @@ def _merge(store: Store, group: list[m.Segment]) -> m.Segment:
     return replace(merged, first_offset=group[0].first_offset, last_offset=group[-1].last_offset)
 
 
-def _publish_merged(store: Store, group: list[m.Segment], merged: m.Segment, manifest_key: str) -> None:
+def _merge_all(store: Store, groups: list[list[m.Segment]]) -> list[m.Segment]:
+    """As _merge, for any number of groups whose merged segments are one task's work each: a job for each table, not
+    for each group."""
+    targets = [name_of(m.merged_key(g)) for g in groups]
+    moves = []
+    for target, group in zip(targets, groups, strict=True):
+        total = 0
+        for x in group:
+            moves.append((name_of(x.key), target, total))
+            total += x.docs
+    names = [name for name, _, _ in moves]
+    table = _if_small(store.spark.createDataFrame(moves, "segment string, __target string, __base long"), len(moves))
+
+    def moved(name: str) -> DataFrame:
+        rows = read_table(store, name, names).join(table, "segment").drop("segment").withColumnRenamed("__target", "segment")
+        if "doc_id" in rows.columns:
+            rows = rows.withColumn("doc_id", F.col("doc_id") + F.col("__base"))
+        return rows.drop("__base")
+
+    def write(name: str, rows: DataFrame, *order: str) -> None:
+        _write(store, name, rows.sortWithinPartitions("segment", *order))
+
+    dealt = lambda name: moved(name).repartition("segment")
+    termdict = dealt("termdict").groupBy("segment", "term").agg(F.sum("df").alias("df"))
+    sums = moved("segments").groupBy("segment").agg(*[F.sum(c).alias(c) for c in ("num_docs", "num_postings", "total_length")], F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+    with ThreadPoolExecutor(3) as pool:
+        done = [pool.submit(write, "docs", dealt("docs"), "doc_id"), pool.submit(write, "postings", dealt("postings"), "term", "doc_id"), pool.submit(write, "termdict", termdict, "term")]
+        for d in done:
+            d.result()
+    counted = read_table(store, "termdict", targets).groupBy("segment").agg(F.count("*").alias("num_terms"))
+    # A segment whose documents have no terms has no rows in the dictionary.
+    stats = sums.join(counted, "segment", "left").fillna({"num_terms": 0})
+    _write_stats(store, stats.select(*StructType.fromDDL(COLUMNS["segments"]).names, "segment"), len(targets))
+    offsets = {m.merged_key(g): (g[0].first_offset, g[-1].last_offset) for g in groups}
+    return [replace(x, first_offset=offsets[x.key][0], last_offset=offsets[x.key][1]) for x in _entries(store, offsets)]
+
+
+def _publish_merged(store: Store, groups: list[list[m.Segment]], merged: list[m.Segment], manifest_key: str) -> None:
     """The manifest is read again, so that what was published meanwhile stays."""
-    live, retired = m.read(store, manifest_key), {x.key for x in group}
-    m.write(store, live.replaced([*(x for x in live.segments if x.key not in retired and x.key != merged.key), merged]), manifest_key)
+    gone = {x.key for g in groups for x in g} | {x.key for x in merged}
+    live = m.read(store, manifest_key)
+    m.write(store, live.replaced([*(x for x in live.segments if x.key not in gone), *merged]), manifest_key)
+
+
+def _parts(group: list[m.Segment]) -> int:
+    """Tasks among which a merged segment is worth dividing."""
+    return max(1, sum(x.bytes for x in group) // MERGED_BYTES)
+
+
+def _rounds(groups: list[list[m.Segment]]) -> list[list[list[m.Segment]]]:
+    """Small groups together, up to ROUND_BYTES and SMALL segments; each large one alone."""
+    rounds: list[list[list[m.Segment]]] = []
+    room_bytes = room_names = 0
+    for group in sorted(groups, key=lambda g: _parts(g) > 1):
+        size = sum(x.bytes for x in group)
+        if _parts(group) > 1 or size > room_bytes or len(group) > room_names:
+            rounds.append([])
+            room_bytes, room_names = ROUND_BYTES, SMALL
+        rounds[-1].append(group)
+        room_bytes, room_names = room_bytes - size, room_names - len(group)
+    return rounds
 
 
 def compact(store: Store, manifest_key: str = m.KEY, merge_factor: int = m.FACTOR, max_bytes: int = m.MAX_BYTES, on_merge=None, at_once: int = 4) -> Compaction:
-    """Merges what the plan says, some groups at a time; each is published as it is done."""
+    """Merges what the plan says, in rounds, some at a time; each round is published as it is done.
+
+    Small groups share a round's jobs, so their number costs no jobs; a large one is a round of its own.
+    """
     out = Compaction()
-    groups = m.plan_compaction(m.read(store, manifest_key).segments, merge_factor, max_bytes)
+    rounds = _rounds(m.plan_compaction(m.read(store, manifest_key).segments, merge_factor, max_bytes))
+    merge = lambda groups: _merge_all(store, groups) if len(groups) > 1 else [_merge(store, groups[0])]
     with ThreadPoolExecutor(at_once) as pool:
-        for group, merged in zip(groups, pool.map(lambda g: _merge(store, g), groups), strict=True):
-            _publish_merged(store, group, merged, manifest_key)
-            out.merged.append(merged)
-            out.retired += group
-            if on_merge:
-                on_merge(group, merged)
+        for groups, merged in zip(rounds, pool.map(merge, rounds), strict=True):
+            _publish_merged(store, groups, merged, manifest_key)
+            for group, one in zip(groups, merged, strict=True):
+                out.merged.append(one)
+                out.retired += group
+                if on_merge:
+                    on_merge(group, one)
     return out
 
 

@@ -218,3 +218,51 @@ def test_random_publishes_never_overlap():
             m = m.publish(Segment(f"k{lo}-{hi}", 1, 1, 0, 0, lo, hi))
         spans = sorted((s.first_offset, s.last_offset) for s in m.segments)
         assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def contents(store):
+    """All rows of the live segments' tables, and the manifest without sizes of files."""
+    live = manifest.read(store)
+    index = lifecycle.open_index(store, live)
+    rows = {t: sorted(repr(r) for r in getattr(index, t).select(*sorted(getattr(index, t).columns)).collect()) for t in lifecycle.TABLES}
+    assert all(s.bytes > 0 for s in live.segments)
+    return rows, [(s.key, s.docs, s.min_ts, s.max_ts, s.first_offset, s.last_offset) for s in live.segments]
+
+
+def test_many_small_groups_share_their_jobs(spark, tmp_path):
+    """Twenty groups take about as many jobs as two, and give what merging each group alone gives."""
+    newest = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    jobs = {}
+    for segments in (4, 40):
+        store = Store(spark, f"file://{tmp_path}/s{segments}")
+        lifecycle.ingest(store, table(spark, 4 * segments - 1), docs_per_segment=4)
+        before, seen = newest(), []
+        done = lifecycle.compact(store, merge_factor=2, on_merge=lambda group, one: seen.append((len(group), one.docs)))
+        jobs[segments] = newest() - before
+        assert seen == [(2, 8)] * (segments // 2 - 1) + [(2, 7)] and len(done.retired) == segments
+    assert jobs[40] <= jobs[4] + 20
+    alone = Store(spark, f"file://{tmp_path}/alone")
+    live = lifecycle.ingest(alone, table(spark, 159), docs_per_segment=4)
+    for i in range(0, 40, 2):
+        lifecycle.merge_group(alone, list(live.segments[i : i + 2]))
+    assert contents(store) == contents(alone)
+
+
+def test_large_groups_merge_alone_and_sizes_agree(spark, store, tmp_path, monkeypatch):
+    lifecycle.ingest(store, table(spark, 64), docs_per_segment=4)
+    names = [lifecycle.name_of(s.key) for s in manifest.read(store).segments]
+    listed = lifecycle.segment_bytes(store, names)
+    monkeypatch.setattr(lifecycle, "LISTED", 0)
+    assert lifecycle.segment_bytes(store, names) == listed and min(listed.values()) > 0
+    groups = [list(manifest.read(store).segments[i : i + 2]) for i in range(0, 16, 2)]
+    assert lifecycle._rounds(groups) == [groups]
+    monkeypatch.setattr(lifecycle, "SMALL", 5)
+    assert lifecycle._rounds(groups) == [groups[0:2], groups[2:4], groups[4:6], groups[6:8]]
+    other = Store(spark, f"file://{tmp_path}/other")
+    lifecycle.ingest(other, table(spark, 64), docs_per_segment=4)
+    monkeypatch.setattr(lifecycle, "MERGED_BYTES", 1)
+    assert lifecycle._rounds(groups) == [[g] for g in groups]
+    lifecycle.compact(other, merge_factor=2)
+    monkeypatch.undo()
+    lifecycle.compact(store, merge_factor=2)
+    assert contents(store) == contents(other)
