@@ -267,11 +267,15 @@ _MERGED = f"""{_CORPUS}, runs AS (SELECT *, segment // 2 AS grp, count(*) OVER (
 after AS (SELECT grp, members, min(segment) AS a, sum(n) AS n, min(min_ts) AS min_ts, max(max_ts) AS max_ts FROM runs GROUP BY ALL)"""
 
 
+#: Merging only adds segments to a store: with a manifest of its own it leaves the ingested index as it is.
+_COMPACTED = "compacted/manifest.json"
+
+
 @_once
 def _compacted(spark: SparkSession, sf_dir: str) -> Store:
-    store = _store(spark)
-    lifecycle.ingest(store, _documents(spark, sf_dir), SIZE, ["text"], position="position")
-    lifecycle.compact(store, merge_factor=2)
+    store = _ingested(spark, sf_dir)
+    manifest.write(store, manifest.read(store), _COMPACTED)
+    lifecycle.compact(store, _COMPACTED, merge_factor=2)
     return store
 
 
@@ -279,14 +283,14 @@ def _compacted(spark: SparkSession, sf_dir: str) -> Store:
 CAST(n AS BIGINT) AS docs, min_ts, max_ts, a * {SIZE} AS first_offset, CAST(a * {SIZE} + n - 1 AS BIGINT) AS last_offset FROM after""")
 def compacted_manifest(spark, sf_dir):
     """Pairs of neighbours merged; segments of like size, as here, always pair up in order."""
-    return _listed(spark, manifest.read(_compacted(spark, sf_dir)))
+    return _listed(spark, manifest.read(_compacted(spark, sf_dir), _COMPACTED))
 
 
 @query(_matches(_CORPUS, ["er", "tion"], Options("or", global_stats=True)) + f", ranked AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, segment, doc_id) AS INTEGER) AS rank, * FROM found) SELECT rank, segment * {SIZE} + doc_id AS place, score FROM ranked WHERE rank <= 20")
 def compacted_search(spark, sf_dir):
     """Merging changes neither documents nor scores."""
     store, o = _compacted(spark, sf_dir), Options("or", global_stats=True, top_k=20)
-    hits = lifecycle.Coordinator(store).search("tion er", o, ["ts"])
+    hits = lifecycle.Coordinator(store, manifest_key=_COMPACTED).search("tion er", o, ["ts"])
     return hits.select("rank", (F.col("ts") - _FROM).alias("place"), F.round("score", 6).alias("score"))
 
 

@@ -266,3 +266,18 @@ def test_large_groups_merge_alone_and_sizes_agree(spark, store, tmp_path, monkey
     monkeypatch.undo()
     lifecycle.compact(store, merge_factor=2)
     assert contents(store) == contents(other)
+
+
+def test_compacted_queries_ingest_nothing_again(spark, monkeypatch):
+    """They merge what is ingested already, under a manifest of their own."""
+    from siltmill.plans import stored_queries as q
+
+    sf = "/root/testdata/sf0.001"
+    store = q._ingested(spark, sf)
+    before = manifest.read(store)
+    monkeypatch.setattr(q, "_MADE", {k: v for k, v in q._MADE.items() if k[0] == "_ingested"})
+    monkeypatch.setattr(lifecycle, "ingest", lambda *a, **k: pytest.fail("ingested again"))
+    n = len(before.segments)
+    assert q.compacted_manifest(spark, sf).count() == n - n // 2
+    assert q.compacted_search(spark, sf).count() == 20
+    assert manifest.read(store) == before and q._ingested(spark, sf) is store
