@@ -1,15 +1,18 @@
 """Near-copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Ball hashing of SimHash can't find them: at Jaccard 0.8 some 10 of 64 bits differ, and balls of half that radius
-have millions of variants. So candidates come from MinHash: BANDS band keys of ROWS minima each; a pair at
-exactly 0.8 shares none of them with probability (1 - 0.8**ROWS)**BANDS = 5e-6, a nearer one with less. Sharing a
-key decides nothing: every link is verified on the two texts' whole shingle sets.
+Candidates come from SimHash's ball hashing first: each shingle set has a 64-bit fingerprint, and fingerprints at up
+to RADIUS = 3 differing bits meet as in ``simhash``. That can't reach every pair: at Jaccard 0.8 some 10 of 64 bits
+differ, and balls of half that radius have millions of variants. What it leaves is added by MinHash: BANDS band
+keys of ROWS minima each; a pair at exactly 0.8 shares none of them with probability (1 - 0.8**ROWS)**BANDS = 5e-6,
+a nearer one with less. Meeting decides nothing: every link is verified on the two texts' whole shingle sets.
 
 Texts with equal shingle sets are reduced to one node first. Nodes that share a key are tied to the smallest one
-of the key, and the components of these unverified ties hold every verified one. The texts of a component of two
-or more nodes (no others) meet in one task. There a text is compared with those that share a key with it, unless
-a link has joined them already, so a large group of near-copies costs about one comparison a text. A task's memory
-is that of the shingle sets of the largest component, 8 bytes a shingle.
+of the key, those of one fingerprint to the smallest one of it, and these as ball hashing links the fingerprints; the
+components of these unverified ties hold every verified one. The texts of a component of two or more nodes (no
+others) meet in one task. There a text is compared with those that share a key with it or are within RADIUS bits
+(then one of four quarters of the fingerprint is equal), unless a link has joined them already, so a large group of
+near-copies costs about one comparison a text. A task's memory is that of the shingle sets of the largest component,
+8 bytes a shingle.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, texts_of, written
-from .simhash import components, kept_rows, text_sha
+from .simhash import RADIUS, components, fingerprint_of, kept_rows, near_links, text_sha
 
 WIDTH = 5
 LEAST_JACCARD = 0.8
@@ -61,6 +64,11 @@ def band_keys(own: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
+def quarters(fp: int) -> list[tuple[int, int]]:
+    """Keys of which fingerprints within RADIUS = 3 bits share one at least."""
+    return [(i, fp >> 16 * i & 0xFFFF) for i in range(RADIUS + 1)]
+
+
 def node_of(own: np.ndarray) -> int:
     """A signed 64-bit name of a shingle set."""
     import xxhash
@@ -83,9 +91,10 @@ class _Group:
     def __init__(self):
         self.nodes: list[int] = []
         self.sets: list[np.ndarray] = []
+        self.fps: list[int] = []
         self.parent: list[int] = []
-        #: For each band key the nodes that have it, by the root they had when last looked at.
-        self.by_key: dict[int, dict[int, list[int]]] = {}
+        #: For each band key and quarter the nodes that have it, by the root they had when last looked at.
+        self.by_key: dict[int | tuple[int, int], dict[int, list[int]]] = {}
 
     def root(self, x: int) -> int:
         parent = self.parent
@@ -99,9 +108,11 @@ class _Group:
         x = len(self.nodes)
         self.nodes.append(node)
         self.sets.append(own)
+        self.fps.append(fingerprint_of(own))
         self.parent.append(x)
         done: set[int] = set()
-        for key in band_keys(own):
+        for key in [*quarters(self.fps[x]), *band_keys(own)]:
+            by_bits = isinstance(key, tuple)
             found = self.by_key.setdefault(key, {})
             for r in list(found):
                 now = self.root(r)
@@ -115,7 +126,7 @@ class _Group:
                 if self.root(r) == self.root(x):
                     continue
                 for m in members:
-                    if m in done:
+                    if m in done or by_bits and (self.fps[m] ^ self.fps[x]).bit_count() > RADIUS:
                         continue
                     done.add(m)
                     if self.near(m, x):
@@ -159,18 +170,24 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def make():
         def each(batch: pa.RecordBatch) -> dict:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "sha": batch.column(2), "node": [node_of(s) for s in sets], "keys": [band_keys(s) for s in sets]}
+            return {"doc_id": batch.column(0), "sha": batch.column(2), "node": [node_of(s) for s in sets], "fp": np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64), "keys": [band_keys(s) for s in sets]}
 
         return each
 
     rows = texts_of(docs, id_col, text_col).withColumn("sha", text_sha("text"))
-    marked = written(map_batches(rows, make, "doc_id long, sha string, node long, keys array<long>"))
+    marked = written(map_batches(rows, make, "doc_id long, sha string, node long, fp long, keys array<long>"))
     # The smallest (doc_id, sha) of each shingle set, then of each group.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("sha").alias("sha")))
-    distinct = written(marked.groupBy("node").agg(first.alias("first"), F.first("keys").alias("keys")))
+    distinct = written(marked.groupBy("node").agg(first.alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    # Ball hashing: fingerprints' links, between the smallest node of each, to which the others of the fingerprint are tied.
+    by_fp = written(distinct.groupBy("fp").agg(F.min("node").alias("least")))
+    side = lambda fp, node: by_fp.select(F.col("fp").alias(fp), F.col("least").alias(node))
+    met = near_links(by_fp.select("fp")).toDF("x", "y").join(side("x", "a"), "x").join(side("y", "b"), "y").select("a", "b")
+    same = distinct.select("fp", "node").join(by_fp, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     by_key = Window.partitionBy("key").orderBy("node")
     ties = distinct.select("node", F.explode("keys").alias("key")).withColumn("least", F.first("node").over(by_key))
-    tied = components(ties.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    banded = ties.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    tied = components(met.unionByName(same).unionByName(banded))
     candidates = written(tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "candidate"))
     wanted = candidates.join(distinct.select("node", "first"), "node").select("candidate", "node", F.col("first.id").alias("__id"), F.col("first.sha").alias("__sha"))
     texts = kept_rows(docs, wanted, id_col, text_col).select("candidate", "node", F.col("__row")[text_col].cast("string").alias("text"))

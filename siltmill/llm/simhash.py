@@ -59,7 +59,11 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+    return fingerprint_of(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The unsigned fingerprint of shingles' hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65_536):
         part = h[i : i + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)

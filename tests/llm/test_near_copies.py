@@ -58,3 +58,34 @@ def test_real_near_copies_go(spark, small):
 def test_awkward_rows(spark, docs):
     kept = near_copies.deduplicated(docs).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "3", "6", "7", "8", "9"])
+
+
+def test_ball_hashing_finds_copies_by_itself(spark, monkeypatch):
+    """Near fingerprints alone bring texts together; a pair within the radius is linked only if its texts are near."""
+    from siltmill.llm import simhash
+
+    rng = random.Random(3)
+    table = []
+    for k in range(12):
+        base = [f"w{rng.randrange(50_000)}" for _ in range(1500)]
+        table.append((100 + k, " ".join(base)))
+        base[700] = "other"
+        table.append((200 + k, " ".join(base)))
+    fps = [simhash.fingerprint_of(near_copies.shingles(t)) for _, t in table]
+    near = [(fps[2 * k] ^ fps[2 * k + 1]).bit_count() <= 3 for k in range(12)]
+    assert sum(near) >= 8
+    monkeypatch.setattr(near_copies, "band_keys", lambda own: [])
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    kept = {r[0] for r in near_copies.deduplicated(docs).select("doc_id").collect()}
+    assert kept == {i for i, _ in table} - {200 + k for k in range(12) if near[k]}
+
+
+def test_near_fingerprints_are_verified(monkeypatch):
+    """Equal fingerprints link no far texts; fingerprints at three bits share a quarter."""
+    monkeypatch.setattr(near_copies, "fingerprint_of", lambda own: 5)
+    group = near_copies._Group()
+    for node, text in enumerate(["one two three four five six", "nothing like it at all", None, "One two  three four five six"]):
+        group.add(node, text)
+    assert [group.root(x) for x in range(4)] == [0, 1, 2, 0]
+    for fp in (0, 2**64 - 1, 12345):
+        assert set(near_copies.quarters(fp)) & set(near_copies.quarters(fp ^ 1 << 3 ^ 1 << 17 ^ 1 << 60))
